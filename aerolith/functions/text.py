@@ -44,7 +44,10 @@ def normalize_key(name: Column) -> Column:
 
 
 def _title(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """Title case that also starts a word after a digit: ``24h`` becomes ``24H``."""
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    marked = F.regexp_replace(spaced, "([^A-Za-z ])([A-Za-z])", "$1\u0001 $2")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 
 def feature_label(name: Column) -> Column:

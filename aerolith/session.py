@@ -15,6 +15,7 @@ def session(app: str = "aerolith", master: str | None = None, partitions: int |
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master).config("spark.driver.memory", "16g")
