@@ -128,12 +128,6 @@ def season_onehot(df: DataFrame) -> DataFrame:
     return df.withColumns(flags).drop("season")
 
 
-def drop_leaking(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Drop time and everything that is only known together with the target."""
-    gone = [TIME, *LEAKING] + ([target] if target else [])
-    return df.drop(*gone)
-
-
 def leakage_guard(df: DataFrame) -> DataFrame:
     """Drop any column naming a pollutant unless it is a lag."""
     bad = [c for c in df.columns if "lag" not in c and any(p in c for p in POLLUTANTS)]
@@ -151,11 +145,13 @@ def numeric_only(df: DataFrame) -> DataFrame:
 
 
 def model_matrix(df: DataFrame, keep=()) -> DataFrame:
-    """Features and target as a model sees them; ``keep`` names id columns to carry."""
+    """Features and target as a model sees them.
+
+    Time and everything known only together with the target is dropped, except
+    the columns named in ``keep``.
+    """
     out = season_onehot(df) if "season" in df.columns else df
-    ids = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    out = drop_leaking(out.select("*", *ids))
-    return out.withColumnsRenamed({f"_keep_{c}": c for c in keep if c not in out.columns})
+    return out.drop(*[c for c in (TIME, *LEAKING) if c not in keep])
 
 
 def align_features(df: DataFrame, names=MODEL_FEATURES, keep=()) -> DataFrame:
