@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features",)
+THEMES = ("features", "statistics")
 
 
 def _collect(name):

@@ -96,21 +96,38 @@ def target_stats(df: DataFrame, value: str = "aqi") -> DataFrame:
 def _corr(a: Column, b: Column) -> Column:
     """Pearson correlation of complete pairs; NULL where a side does not vary."""
     both = a.isNotNull() & b.isNotNull()
-    r = F.corr(F.when(both, a), F.when(both, b))
-    return F.when(~F.isnan(r), r)
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def _paired(df: DataFrame, keys, cells, **agg) -> DataFrame:
+    """Aggregate many column pairs at once.
+
+    ``cells`` holds (names, x, y).  Each row is unfolded into one row per pair,
+    counted before the shuffle: the plan stays small for any number of pairs
+    and at most groups x pairs rows move.
+    """
+    names = list(cells[0][0])
+    unfolded = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], x.cast("double").alias("x"), y.cast("double").alias("y"))
+            for labels, x, y in cells
+        ]
+    )
+    long = df.select(*keys, F.inline(unfolded))
+    return long.groupBy(*keys, *names).agg(*[v.alias(n) for n, v in agg.items()])
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete Pearson correlations, one aggregate for all pairs."""
-    pairs = list(combinations_with_replacement(cols, 2))
-    row = df.agg(*[_corr(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(F.lit(x).alias("feature"), F.lit(y).alias("other"), F.col(f"{i}").alias("corr"))
-            )
-    return row.select(F.inline(F.array(*cells)))
+    """Pairwise-complete Pearson correlations of all columns."""
+    cells = [
+        ({"feature": a, "other": b}, F.col(a), F.col(b)) for a, b in combinations_with_replacement(cols, 2)
+    ]
+    half = _paired(df, (), cells, corr=_corr(F.col("x"), F.col("y")))
+    mirrored = F.array_distinct(
+        F.array(F.struct("feature", "other"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other")))
+    )
+    return half.select(F.inline(mirrored), "corr")
 
 
 def _one(df: DataFrame, **columns) -> Column:
@@ -205,21 +222,10 @@ def lag_crosscorr(
 ) -> DataFrame:
     """Correlation of each feature N rows ago with the target now."""
     rows = _lagged(df, features, target, lags, layout)
-    cells = [(f, n) for f in features for n in lags]
-    agg = rows.groupBy(*keys).agg(
-        *[_corr(F.col(f"_l{n}.{f}"), F.col(target)).alias(f"{f}@{n}") for f, n in cells]
-    )
-    return agg.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("feature"), F.lit(n).alias("lag"), F.col(f"`{f}@{n}`").alias("corr"))
-                    for f, n in cells
-                ]
-            )
-        ),
-    )
+    cells = [
+        ({"feature": f, "lag": n}, F.col(f"_l{n}.{f}"), F.col(target)) for f in features for n in lags
+    ]
+    return _paired(rows, keys, cells, corr=_corr(F.col("x"), F.col("y")))
 
 
 def _binned(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -321,3 +327,23 @@ def regression_metrics(scored: DataFrame, by=(), actual: str = "aqi", predicted:
     """RMSE, MAE and R² of complete pairs, per group."""
     cols = [v.alias(n) for n, v in metric_columns(actual, predicted).items()]
     return scored.groupBy(*by).agg(*cols)
+
+
+def feature_scores(df: DataFrame, features, target: str = "aqi", keys=KEYS) -> DataFrame:
+    """Absolute correlation of each feature with the target, per series, 0 without variation."""
+    cells = [({"feature_name": f}, F.col(f), F.col(target)) for f in features]
+    score = F.coalesce(F.abs(_corr(F.col("x"), F.col("y"))), F.lit(0.0))
+    return _paired(df, keys, cells, importance_score=score)
+
+
+def top_features(scores: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` highest scores, names breaking ties; kept per partition before they meet."""
+    return scores.orderBy(F.desc("importance_score"), "feature_name").limit(n)
+
+
+def top_of_map(scores: Column, n: int) -> Column:
+    """The ``n`` entries of a map with the highest values, names breaking ties."""
+    entries = F.transform(
+        F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))
+    )
+    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: e["k"])
