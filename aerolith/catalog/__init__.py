@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features", "statistics")
+THEMES = ("features", "statistics", "rules")
 
 
 def _collect(name):

@@ -25,7 +25,10 @@ from aerolith.plans import chains
 from aerolith.schema import AIR, CALENDAR, CYCLICAL, INTERPOLATED, MODEL_FEATURES, POLLUTANTS, RAW, WEATHER
 
 AS_OF = "2024-01-20 07:30:00"
-_as_of = F.expr(f"timestamp_ntz '{AS_OF}'")
+
+
+def _as_of():
+    return F.expr(f"timestamp_ntz '{AS_OF}'")
 
 
 def _on_obs(make, *cols):
@@ -63,7 +66,7 @@ def _aligned(spark, sf_dir):
 
 
 def _freshness(spark, sf_dir):
-    return quality.forecast_freshness(observations(spark, sf_dir), _as_of)
+    return quality.forecast_freshness(observations(spark, sf_dir), _as_of())
 
 
 QUERIES = {
@@ -98,8 +101,8 @@ QUERIES = {
     "numeric_only": lambda s, d: rounded(X.numeric_only(_features(s, d))),
     "cast_float32": lambda s, d: rounded(X.to_single_precision(_features(s, d)).select(*ID, *X.SINGLE_PRECISION), 3),
     "align_features": _aligned,
-    "future_only": _on_obs(lambda o: o.filter(F.col("time") > _as_of), *WEATHER),
-    "next_n_hours": _on_obs(lambda o: S.head_from(o, hour_ceil(_as_of), 72), *WEATHER),
+    "future_only": _on_obs(lambda o: o.filter(F.col("time") > _as_of()), *WEATHER),
+    "next_n_hours": _on_obs(lambda o: S.head_from(o, hour_ceil(_as_of()), 72), *WEATHER),
     "tail_per_series": _on_obs(lambda o: S.tail(o, 26), *RAW),
     "sorted_series": _on_obs(lambda o: o.orderBy(*ID), *RAW),
     "preview": _on_obs(lambda o: o.orderBy(*ID).limit(5), *RAW),

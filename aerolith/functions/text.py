@@ -107,4 +107,4 @@ def driver_summary(labels: Column) -> Column:
 def metric_pick(metrics: Column, names) -> Column:
     """First metric present among ``names``, three decimals; empty if none."""
     found = F.coalesce(*[F.try_element_at(metrics, F.lit(n)) for n in names])
-    return F.coalesce(F.format_string("%.3f", found), F.lit(""))
+    return F.when(found.isNull(), "").otherwise(F.format_string("%.3f", found))
