@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features", "statistics", "rules")
+THEMES = ("features", "statistics", "rules", "tables")
 
 
 def _collect(name):
