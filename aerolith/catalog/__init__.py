@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features", "statistics", "rules", "tables")
+THEMES = ("features", "statistics", "rules", "tables", "models", "forecasts")
 
 
 def _collect(name):

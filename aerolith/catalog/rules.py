@@ -154,7 +154,7 @@ def band_keys(i):
     return [b[i] for b in B.BANDS]
 
 
-def _alert(column):
+def alert_sql(column):
     whens = " ".join(f"when {column} >= {low} then '{name}'" for low, name in B.ALERTS)
     return f"case when {column} is null then null {whens} else 'Good' end"
 
@@ -178,8 +178,8 @@ def pm25_sql(column):
     return f"case when {column} is null then null {whens} end"
 
 
-def _advice(table_, i):
-    return bands_sql("aqi", [table_[k][i] for k in band_keys(1)])
+def advice_sql(column, table_, i):
+    return bands_sql(column, [table_[k][i] for k in band_keys(1)])
 
 
 _aqi_sql = f"{with_(OBS)} select station_id, time, {r('aqi')}"
@@ -217,17 +217,17 @@ def _naming(words):
 ORACLES = {
     "aqi_category": f"""{_aqi_sql}, {bands_sql('aqi', band_keys(1))} as category_key, {bands_sql('aqi', band_keys(2))} as category,
         {bands_sql('aqi', B.HEX_COLOURS)} as colour, {bands_sql('aqi', B.SLUGS)} as slug from obs""",
-    "alert_level": f"{_aqi_sql}, {_alert('aqi')} as alert_level from obs",
+    "alert_level": f"{_aqi_sql}, {alert_sql('aqi')} as alert_level from obs",
     "affected_groups": f"{_aqi_sql}, {groups_sql('aqi')} as affected_groups from obs",
     "activity_advice": f"{_aqi_sql}, {_activity(0)} as outdoor, {_activity(1)} as indoor from obs",
     "aqi_to_pm25": f"{_aqi_sql}, {r(pm25_sql('(aqi * 3 - 50)'), 'pm25')} from obs",
-    "ui_advice": f"""{_aqi_sql}, {', '.join(f'{_advice(B.UI_ADVICE, i)} as {n}' for i, n in
+    "ui_advice": f"""{_aqi_sql}, {', '.join(f'{advice_sql('aqi', B.UI_ADVICE, i)} as {n}' for i, n in
         enumerate(('general', 'sensitive', 'activity', 'precautions')))} from obs""",
     "category_lookup": f"""{_aqi_sql}, {bands_sql('aqi', band_keys(1))} as category_key, {bands_sql('aqi', band_keys(2))} as category,
         {bands_sql('aqi', B.RANGES)} as aqi_range, {bands_sql('aqi', band_keys(3))} as colour from obs""",
     "health_advice": f"""{_aqi_sql}, {bands_sql('aqi', band_keys(1))} as category_key, {bands_sql('aqi', band_keys(2))} as category,
         {bands_sql('aqi', B.RANGES)} as aqi_range, {bands_sql('aqi', band_keys(3))} as colour,
-        {', '.join(f'{_advice(B.HEALTH_ADVICE, i)} as {n}' for i, n in
+        {', '.join(f'{advice_sql('aqi', B.HEALTH_ADVICE, i)} as {n}' for i, n in
         enumerate(('description', 'general_public', 'sensitive_groups', 'children_elderly')))} from obs""",
     "tz_convert": f"""{with_(OBS)} select station_id, time, time + interval 5 hour as local_time,
         time - interval 5 hour as utc_time from obs""",

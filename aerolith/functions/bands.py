@@ -139,6 +139,9 @@ UI_ADVICE = {
 }
 
 
+MAX_AQI = 500.0
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     """Clamp to [low, high]; NULL stays NULL."""
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
