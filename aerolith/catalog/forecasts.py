@@ -122,7 +122,7 @@ def _buf(c):
 
 _known = {f"{c}_lag_{n}h": _back(_buf(c), n) for c, ns in LAGS.items() for n in ns}
 _known |= {f"aqi_change_{n}h": f"({_back('b_aqi', 1)} - {_back('b_aqi', n + 1)})" for n in CHANGE_HOURS}
-_known |= {f"aqi_rate_{n}h": f"greatest(-10e0, least(10e0, {_known[f'aqi_change_{n}h']} / {n}e0))" for n in RATE_HOURS}
+_known |= {f"aqi_rate_{n}h": f"case when {_known[f'aqi_change_{n}h']} is not null then greatest(-10e0, least(10e0, {_known[f'aqi_change_{n}h']} / {n}e0)) end" for n in RATE_HOURS}
 _lists = ", ".join(f"list({c} order by time) as {_buf(c)}" for c in ("aqi", *LAGS))
 
 

@@ -239,7 +239,7 @@ class TreeEnsemble:
                 "nodeData.leftChild",
                 "nodeData.rightChild",
                 F.col("nodeData.split.featureIndex").alias("feature"),
-                F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+                F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
             )
             .toPandas()
             .sort_values(["treeID", "id"])

@@ -128,15 +128,12 @@ def linear_shap(df: DataFrame, model: LinearModel) -> DataFrame:
     """
     names = [n for n in model.weights if n in df.columns]
     value = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
-    means = df.agg(F.struct(*[F.avg(value(n)).alias(n) for n in names]).alias("s")).scalar()
-    base = F.lit(float(model.intercept))
-    for n in names:
-        base = base + F.lit(float(model.weights[n])) * means[n]
-    row = df.agg(
-        *[F.avg(F.abs(F.lit(float(model.weights[n])) * (value(n) - means[n]))).alias(n) for n in names]
-    )
+    means = df.agg(*[F.avg(value(n)).alias(n) for n in names]).first()
+    base = model.intercept + sum(model.weights[n] * (means[n] or 0.0) for n in names)
+    shap = lambda n: F.lit(float(model.weights[n])) * (value(n) - F.lit(means[n]))
+    row = df.agg(*[F.avg(F.abs(shap(n))).alias(n) for n in names])
     cells = [F.struct(F.lit(n).alias("feature_name"), F.col(n).alias("importance_score")) for n in names]
-    return row.select(F.inline(F.array(*cells))).withColumn("base_value", base)
+    return row.select(F.inline(F.array(*cells))).withColumn("base_value", F.lit(base))
 
 
 def permutation_importance(

@@ -228,10 +228,12 @@ def lag_crosscorr(
     return _paired(rows, keys, cells, corr=_corr(F.col("x"), F.col("y")))
 
 
-def _binned(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+def _binned(value: Column, lo: float | None, hi: float | None, bins: int) -> Column:
     """Equal-width bin from 0; everything in bin 0 where there is no width."""
-    place = F.floor(F.lit(float(bins)) * F.try_divide(value - lo, hi - lo)).cast("int")
-    return F.when(value.isNotNull(), F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)))
+    if lo is None or lo == hi:
+        return F.when(value.isNotNull(), F.lit(0))
+    place = F.floor(F.lit(float(bins)) * (value - F.lit(lo)) / F.lit(hi - lo)).cast("int")
+    return F.least(place, F.when(value.isNotNull(), F.lit(bins - 1)))
 
 
 def lag_mutual_info(
@@ -248,7 +250,9 @@ def lag_mutual_info(
     shuffle, so at most features x lags x bins x bins groups move.
     """
     cols = [*features, target]
-    e = _one(df, **{f"lo_{c}": F.min(c) for c in cols}, **{f"hi_{c}": F.max(c) for c in cols})
+    e = df.agg(
+        *[f(c).cast("double").alias(f"{a}_{c}") for c in cols for a, f in (("lo", F.min), ("hi", F.max))]
+    ).first()
     binned = df.select(
         *KEYS, TIME, *[_binned(F.col(c), e[f"lo_{c}"], e[f"hi_{c}"], bins).alias(c) for c in cols]
     )
