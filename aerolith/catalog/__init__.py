@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features", "statistics", "rules", "tables", "models", "forecasts")
+THEMES = ("features", "statistics", "rules", "tables", "models", "forecasts", "streams")
 
 
 def _collect(name):

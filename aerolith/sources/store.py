@@ -13,6 +13,7 @@ from aerolith.functions.bands import aqi_category
 MONTH, SHARD = "part_month", "part_shard"
 SHARDS = 32
 ORDER = "ingest_seq"
+DELETED = "is_deleted"
 
 
 def _placed(df: DataFrame, shards: int, keys) -> DataFrame:
@@ -39,7 +40,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -58,7 +59,7 @@ def upsert(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
     """
     spark = df.sparkSession
     new = _placed(df, shards, keys)
-    if _exists(spark, path):
+    if exists(spark, path):
         touched = new.select(MONTH, SHARD).distinct()
         old = read_table(spark, path).join(touched, [MONTH, SHARD], "left_semi")
         new = new.unionByName(old, allowMissingColumns=True)
@@ -69,8 +70,9 @@ def upsert(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
 
 
 def plain(table: DataFrame) -> DataFrame:
-    """Without the columns that only place rows, and the store's own ``_id``."""
-    return table.drop(MONTH, SHARD, ORDER, "_id")
+    """Live rows without the columns that only place them, and without ``_id``."""
+    live = table.filter(~F.coalesce(F.col(DELETED), F.lit(False))) if DELETED in table.columns else table
+    return live.drop(MONTH, SHARD, ORDER, DELETED, "_id")
 
 
 def range_scan(table: DataFrame, start: Column, end: Column) -> DataFrame:
