@@ -28,6 +28,7 @@ from aerolith.schema import (
     RAW_OBS,
     TIME,
 )
+from aerolith.session import shared_dir
 from aerolith.sources import store
 from aerolith.sources.event_feed import USERS_PER_STATION, hourly_values
 
@@ -146,6 +147,13 @@ def refresh_plan(raw: DataFrame, touched: DataFrame, halo_hours: int = HALO_HOUR
     )
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, read back: computed once, without lineage."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def refresh_features(raw_path: str, features_path: str, shards: int = store.SHARDS, layout: Layout = None):
     """A batch handler: store the hours, recompute what they change, upsert it."""
 
@@ -153,7 +161,7 @@ def refresh_features(raw_path: str, features_path: str, shards: int = store.SHAR
         spark = batch.sparkSession
         store.upsert(batch, raw_path, shards)
         raw = store.plain(store.read_table(spark, raw_path)).select(*KEYS, TIME, *RAW)
-        plan = refresh_plan(raw, batch.select(*KEYS, TIME))
+        plan = written(refresh_plan(raw, batch.select(*KEYS, TIME)), "refresh-plan")
         needed = (
             raw.join(plan, list(KEYS))
             .filter(F.col("read_from").isNull() | (F.col(TIME) >= F.col("read_from")))
@@ -161,8 +169,9 @@ def refresh_features(raw_path: str, features_path: str, shards: int = store.SHAR
         )
         ranges = feature_range(raw, INTERPOLATED)
         changed = F.col("settled").isNull() | (F.col(TIME) > F.col("settled"))
+        table = chains.features_full(needed, layout=layout or choose_layout(needed), ranges=ranges)
         fresh = (
-            chains.features_full(needed, layout=layout or choose_layout(needed), ranges=ranges)
+            written(table, "refresh-features")
             .join(plan.drop("read_from"), list(KEYS))
             .filter(changed)
             .drop("settled")
