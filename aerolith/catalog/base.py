@@ -1,9 +1,9 @@
 """Inputs shared by the catalog, as DataFrames and as SQL."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from aerolith.functions.calendar import day_number, hours_after
-from aerolith.schema import AIR, KEYS, RAW, TIME, WEATHER
+from aerolith.operators import series as S
+from aerolith.schema import KEYS, RAW, TIME, WEATHER
 from aerolith.sources import event_feed
 
 ID = ("station_id", "time")
@@ -15,6 +15,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_feed.observations(spark, sf_dir)
 
 
+def layout_of(spark: SparkSession, sf_dir: str) -> S.Layout:
+    """Observations are hourly, so the time span of the events bounds a series."""
+    return S.layout_from_span(event_feed.table(spark, sf_dir, "events"), time="ts")
+
+
+def order_layout(spark: SparkSession, sf_dir: str) -> S.Layout:
+    """A supplier has at most one row per order line."""
+    return S.choose_layout(event_feed.table(spark, sf_dir, "lineitem"), ["l_suppkey"]).of(KEYS)
+
+
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_feed.order_series(spark, sf_dir)
 

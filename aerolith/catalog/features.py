@@ -1,5 +1,7 @@
 """Gap repair, quality and feature queries."""
 
+from inspect import signature
+
 from pyspark.sql import functions as F
 
 from aerolith.catalog import feature_sql as Q
@@ -8,9 +10,10 @@ from aerolith.catalog.base import (
     ID,
     OBS,
     ORDER_SERIES,
-    PREDICTIONS,
     SPLIT_FORECAST,
+    layout_of,
     observations,
+    order_layout,
     order_series,
     r,
     rounded,
@@ -32,10 +35,14 @@ def _as_of():
 
 
 def _on_obs(make, *cols):
-    """A query over observations, narrowed to the columns it shows."""
+    """A query over observations, narrowed to the columns it shows.
+
+    A ``make`` of two arguments also takes the layout of the series.
+    """
 
     def run(spark, sf_dir):
-        out = make(observations(spark, sf_dir))
+        obs = observations(spark, sf_dir)
+        out = make(obs, layout_of(spark, sf_dir)) if len(signature(make).parameters) > 1 else make(obs)
         return rounded(out.select(*ID, *cols) if cols else out)
 
     return run
@@ -48,7 +55,7 @@ PCT = ("aqi_pct_change_1h", "aqi_pct_change_24h")
 
 
 def _features(spark, sf_dir):
-    return chains.features_full(observations(spark, sf_dir))
+    return chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir))
 
 
 def _model_matrix(spark, sf_dir):
@@ -57,7 +64,7 @@ def _model_matrix(spark, sf_dir):
 
 def _forecast_features(spark, sf_dir):
     _, future = split_forecast(observations(spark, sf_dir))
-    return chains.features_forecast(future)
+    return chains.features_forecast(future, layout=layout_of(spark, sf_dir))
 
 
 def _aligned(spark, sf_dir):
@@ -70,14 +77,14 @@ def _freshness(spark, sf_dir):
 
 
 QUERIES = {
-    "ffill_limit": _on_obs(impute.fill_gaps, *INTERPOLATED, *AIR),
-    "interpolate_linear": _on_obs(lambda o: impute.interpolate(impute.fill_gaps(o)), *INTERPOLATED),
-    "median_impute": _on_obs(lambda o: impute.median_impute(impute.fill_gaps(o)), *AIR),
-    "median_impute_centered": _on_obs(impute.explore_clean, *RAW),
+    "ffill_limit": _on_obs(lambda o, l: impute.fill_gaps(o, l), *INTERPOLATED, *AIR),
+    "interpolate_linear": _on_obs(lambda o, l: impute.interpolate(impute.fill_gaps(o, l), layout=l), *INTERPOLATED),
+    "median_impute": _on_obs(lambda o, l: impute.median_impute(impute.fill_gaps(o, l), layout=l), *AIR),
+    "median_impute_centered": _on_obs(lambda o, l: impute.explore_clean(o, l), *RAW),
     "duplicate_weather": _on_obs(
-        lambda o: quality.duplicate_weather(impute.handle_missing(o)), *INTERPOLATED, "is_duplicate"
+        lambda o, l: quality.duplicate_weather(impute.handle_missing(o, l), layout=l), *INTERPOLATED, "is_duplicate"
     ),
-    "duplicate_count": _on_obs(lambda o: quality.duplicate_count(impute.explore_clean(o), WEATHER)),
+    "duplicate_count": _on_obs(lambda o, l: quality.duplicate_count(impute.explore_clean(o, l), WEATHER, l)),
     "validate_ranges": _on_obs(quality.validate_ranges, "aqi", "temperature_2m", "pm2_5", "pm10"),
     "drop_incomplete": _on_obs(quality.drop_incomplete, *RAW),
     "dedupe_keep_last": lambda s, d: rounded(S.dedupe_last(with_copies(observations(s, d)))),
@@ -87,11 +94,11 @@ QUERIES = {
     "time_features": _on_obs(X.time_features, *CALENDAR, "season"),
     "cyclical": _on_obs(lambda o: X.cyclical(X.time_features(o)), *CYCLICAL),
     "interactions": _on_obs(X.interactions, *Q.INTERACTIONS),
-    "lag_features": _on_obs(X.lag_features, *LAGGED),
-    "aqi_change_rates": _on_obs(X.change_rates, *CHANGED),
-    "aqi_pct_change": _on_obs(X.pct_change, *PCT),
+    "lag_features": _on_obs(lambda o, l: X.lag_features(o, l), *LAGGED),
+    "aqi_change_rates": _on_obs(lambda o, l: X.change_rates(o, l), *CHANGED),
+    "aqi_pct_change": _on_obs(lambda o, l: X.pct_change(o, layout=l), *PCT),
     "features_full": lambda s, d: rounded(_features(s, d)),
-    "features_long": lambda s, d: rounded(chains.features_full(order_series(s, d))),
+    "features_long": lambda s, d: rounded(chains.features_full(order_series(s, d), layout=order_layout(s, d))),
     "features_forecast": lambda s, d: rounded(_forecast_features(s, d)),
     "season_onehot": _on_obs(
         lambda o: X.season_onehot(X.time_features(o)), "season_0", "season_1", "season_2", "season_3"

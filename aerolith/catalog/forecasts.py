@@ -9,6 +9,7 @@ from aerolith.catalog.base import (
     PREDICTIONS,
     SPLIT_FORECAST,
     WEIGHTS,
+    layout_of,
     observations,
     predictions,
     r,
@@ -48,7 +49,7 @@ def _closest(spark, sf_dir):
 
 def _conditions(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return match.rows_of(chains.features_full(obs), obs)
+    return match.rows_of(chains.features_full(obs, layout=layout_of(spark, sf_dir)), obs)
 
 
 def _forecast(spark, sf_dir):
@@ -64,12 +65,12 @@ def _forecast_trees(spark, sf_dir):
 
 
 def _current(spark, sf_dir):
-    return G.current_aqi(observations(spark, sf_dir), LINEAR)
+    return G.current_aqi(observations(spark, sf_dir), LINEAR, layout=layout_of(spark, sf_dir))
 
 
 def _alerts(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    out = G.alerts(G.current_aqi(obs, LINEAR), predictions(obs))
+    out = G.alerts(G.current_aqi(obs, LINEAR, layout=layout_of(spark, sf_dir)), predictions(obs))
     return out.withColumn("affected_groups", F.array_join("affected_groups", ","))
 
 

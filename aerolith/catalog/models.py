@@ -8,6 +8,7 @@ from aerolith.catalog.base import (
     INTERCEPT,
     OBS,
     WEIGHTS,
+    layout_of,
     observations,
     r,
     rounded,
@@ -33,10 +34,10 @@ NAIVE = {
 }
 
 
-def naive_scores(obs):
+def naive_scores(obs, layout):
     """One row per hour and naive model."""
     lagged = S.with_series(
-        obs.select(*ID, "aqi"), {f"l{n}": lambda w, n=n: F.lag("aqi", n).over(w) for n in (1, 2, 24)}, 24
+        obs.select(*ID, "aqi"), {f"l{n}": lambda w, n=n: F.lag("aqi", n).over(w) for n in (1, 2, 24)}, 24, layout
     )
     models = F.array(
         *[F.struct(F.lit(n).alias("model"), F.expr(e.replace("e0", "D")).alias("predicted_aqi")) for n, e in NAIVE.items()]
@@ -45,12 +46,12 @@ def naive_scores(obs):
 
 
 def _metrics(spark, sf_dir):
-    return M.metrics_table(P.time_split(naive_scores(observations(spark, sf_dir))))
+    return M.metrics_table(P.time_split(naive_scores(observations(spark, sf_dir), layout_of(spark, sf_dir))))
 
 
 def matrix(spark, sf_dir):
     """The split model matrix of all stations."""
-    table = X.season_onehot(chains.features_full(observations(spark, sf_dir)))
+    table = X.season_onehot(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)))
     return P.time_split(table.select(*ID, "aqi", *MODEL_FEATURES))
 
 
@@ -93,18 +94,18 @@ SCALED = ("temperature_2m", "pm2_5", "aqi")
 
 
 def _scaled(spark, sf_dir):
-    table = P.time_split(chains.features_full(observations(spark, sf_dir)))
+    table = P.time_split(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)))
     return P.scale(table, SCALED, F.col("split") == "train").select(*ID, "split", *SCALED)
 
 
 def _score_batch(spark, sf_dir):
-    table = X.season_onehot(chains.features_full(observations(spark, sf_dir)))
+    table = X.season_onehot(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)))
     return M.score(table, LINEAR).select(*ID, "aqi", "predicted_aqi")
 
 
 def _runs(spark, sf_dir):
     """Registry rows: every station and day trains every naive model once."""
-    scored = naive_scores(observations(spark, sf_dir)).filter("aqi is not null and predicted_aqi is not null")
+    scored = naive_scores(observations(spark, sf_dir), layout_of(spark, sf_dir)).filter("aqi is not null and predicted_aqi is not null")
     error = F.col("predicted_aqi") - F.col("aqi")
     per = scored.groupBy("model", *KEYS, F.to_date(TIME).alias("d")).agg(
         F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.max(TIME).alias("saved_at")
@@ -149,7 +150,7 @@ QUERIES = {
     "scale_features": lambda s, d: rounded(_scaled(s, d)),
     "score_batch": lambda s, d: rounded(_score_batch(s, d)),
     "linear_shap": lambda s, d: rounded(
-        M.linear_shap(X.season_onehot(chains.features_full(observations(s, d))), LINEAR)
+        M.linear_shap(X.season_onehot(chains.features_full(observations(s, d), layout=layout_of(s, d))), LINEAR)
     ),
     "model_metrics_table": lambda s, d: rounded(_metrics(s, d)),
     "select_best_model": lambda s, d: rounded(M.select_best(_metrics(s, d))),

@@ -7,6 +7,7 @@ from aerolith.catalog.base import (
     ID,
     OBS,
     PREDICTIONS,
+    layout_of,
     observations,
     predictions,
     r,
@@ -26,18 +27,22 @@ def _on_obs(make):
     return lambda spark, sf_dir: rounded(make(observations(spark, sf_dir)))
 
 
+def _on_series(make):
+    return lambda spark, sf_dir: rounded(make(observations(spark, sf_dir), layout_of(spark, sf_dir)))
+
+
 def _on_predictions(make):
     return lambda spark, sf_dir: rounded(make(predictions(observations(spark, sf_dir))))
 
 
-def naive_predictions(obs):
+def naive_predictions(obs, layout):
     """The last hour's value as the forecast of the next."""
-    return S.with_series(obs, {"predicted_aqi": lambda w: F.lag("aqi", 1).over(w)}, 1)
+    return S.with_series(obs, {"predicted_aqi": lambda w: F.lag("aqi", 1).over(w)}, 1, layout)
 
 
 def scores(spark, sf_dir):
     """Correlation scores of all model features, per station."""
-    table = X.season_onehot(chains.features_full(observations(spark, sf_dir)))
+    table = X.season_onehot(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)))
     return A.feature_scores(table, MODEL_FEATURES)
 
 
@@ -57,12 +62,12 @@ QUERIES = {
     "outliers_iqr": _on_obs(lambda o: A.outliers_iqr(o).select(*ID, "aqi")),
     "outliers_zscore": _on_obs(lambda o: A.outliers_zscore(o, "pm10").select(*ID, "pm10")),
     "outlier_report": _on_obs(A.outlier_report),
-    "lag_crosscorr": _on_obs(A.lag_crosscorr),
-    "lag_mutual_info": _on_obs(A.lag_mutual_info),
+    "lag_crosscorr": _on_series(lambda o, l: A.lag_crosscorr(o, layout=l)),
+    "lag_mutual_info": _on_series(lambda o, l: A.lag_mutual_info(o, layout=l)),
     "forecast_daily": _on_predictions(A.forecast_daily),
     "forecast_kpis": _on_predictions(A.forecast_kpis),
-    "regression_metrics": _on_obs(
-        lambda o: A.regression_metrics(naive_predictions(o), by=["station_id"])
+    "regression_metrics": _on_series(
+        lambda o, l: A.regression_metrics(naive_predictions(o, l), by=["station_id"])
     ),
     "feature_scores": lambda s, d: rounded(scores(s, d)),
     "top_features": lambda s, d: rounded(A.top_features(rounded(scores(s, d)).drop("station_id"))),

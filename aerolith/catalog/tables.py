@@ -9,6 +9,7 @@ from aerolith.catalog.base import (
     OBS,
     PREDICTIONS,
     SPLIT_FORECAST,
+    layout_of,
     observations,
     predictions,
     r,
@@ -86,13 +87,13 @@ def _feature_append(spark, sf_dir):
 def _forecast_scan(spark, sf_dir):
     _, future = split_forecast(observations(spark, sf_dir))
     path = shared_dir(spark, "forecast")
-    store.append(chains.features_forecast(future), path, shards=4)
+    store.append(chains.features_forecast(future, layout=layout_of(spark, sf_dir)), path, shards=4)
     table = store.read_table(spark, path)
     return store.plain(store.range_scan(table, _ts("2024-01-28 06:00:00"), _ts("2024-01-29 12:00:00")))
 
 
 def _feature_view(spark, sf_dir):
-    features, label = store.feature_view(chains.features_full(observations(spark, sf_dir)), "aqi_feature_view")
+    features, label = store.feature_view(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)), "aqi_feature_view")
     return features.select(*ID, "pm2_5_lag_1h", "aqi_change_1h").join(label, list(ID))
 
 

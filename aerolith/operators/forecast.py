@@ -50,7 +50,7 @@ def _inputs(history: DataFrame, future: DataFrame, start: Column, steps: int, tz
         F.array_sort(F.collect_list(F.struct(TIME, *BUFFERS))).alias("past")
     )
     hours = S.head_from(future, start, steps).select(*KEYS, TIME, *WEATHER)
-    ahead = X.season_onehot(chains.features_forecast(hours, tz)).groupBy(*KEYS).agg(
+    ahead = X.season_onehot(chains.features_forecast(hours, tz, S.Layout())).groupBy(*KEYS).agg(
         F.array_sort(
             F.collect_list(F.struct(TIME, *[F.col(c).cast("double").alias(c) for c in FUTURE]))
         ).alias("ahead")

@@ -139,13 +139,15 @@ def linear_shap(df: DataFrame, model: LinearModel) -> DataFrame:
 
 
 def permutation_importance(
-    df: DataFrame, model: Model, features=MODEL_FEATURES, actual: str = TARGET, groups: int = 64
+    df: DataFrame, model: Model, features=MODEL_FEATURES, actual: str = TARGET, group_rows: int = 50_000
 ) -> DataFrame:
     """Rise of the RMSE when one feature is exchanged between rows.
 
-    Rows are put in hash order within hash groups, and each row takes the
-    feature value of the row before it; every row is scored once per feature.
+    Rows are put in hash order within hash groups of about ``group_rows``, and
+    each row takes the feature value of the row before it; every row is scored
+    once per feature.
     """
+    groups = 1 + df.count() // group_rows
     mix = F.xxhash64(*KEYS, TIME)
     values = F.array(*[F.col(f).cast("double") for f in features])
     spread = df.select(*KEYS, TIME, actual, values.alias("x"), mix.alias("h")).withColumn(

@@ -10,33 +10,40 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 ACCURACY = 10_000
+MARGIN = 2.0 / ACCURACY
 
 
-def _at_rank(df: DataFrame, col: str, rank: int, n: int, lo: float, hi: float, small: int) -> float:
-    """The value at 0-based ``rank`` of ``n`` non-NULL values within [lo, hi]."""
+def _at_rank(df: DataFrame, col: str, rank: int, n: int, small: int) -> float:
+    """The value at 0-based ``rank`` of the ``n`` non-NULL values."""
     v = F.col(col)
     below, inside = 0, n
     part = df.filter(v.isNotNull()).select(col)
-    while inside > small and lo < hi:
-        frac = (rank - below) / inside
-        margin = 2.0 / ACCURACY
-        edges = [max(0.0, frac - margin), min(1.0, frac + margin)]
-        part = part.filter(v.between(lo, hi))
-        new_lo, new_hi = part.agg(F.percentile_approx(col, edges, ACCURACY)).first()[0]
-        counts = part.agg(
-            F.count_if(v < new_lo).alias("under"), F.count_if(v.between(new_lo, new_hi)).alias("within")
+    while inside > small:
+        place = (rank - below) / inside
+        edges = [max(0.0, place - MARGIN), min(1.0, place + MARGIN)]
+        lo, hi = part.agg(F.percentile_approx(col, edges, ACCURACY)).first()[0]
+        c = part.agg(
+            F.count_if(v < lo).alias("under"),
+            F.count_if(v == lo).alias("at_lo"),
+            F.count_if((v > lo) & (v < hi)).alias("between"),
+            F.count_if(v == hi).alias("at_hi"),
         ).first()
-        # The bracket holds the rank by the sketch's error bound; if ever not, keep the old one.
-        if not below + counts.under <= rank < below + counts.under + counts.within:
-            break
-        if counts.within == inside:
-            break
-        below, inside, lo, hi = below + counts.under, counts.within, new_lo, new_hi
-    if lo == hi:
-        return lo
-    distinct = part.filter(v.between(lo, hi)).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+        start = below + c.under
+        if start <= rank < start + c.at_lo:
+            return lo
+        if start + c.at_lo <= rank < start + c.at_lo + c.between:
+            part, below, inside = part.filter((v > lo) & (v < hi)), start + c.at_lo, c.between
+        elif rank < start:  # outside the bracket, which the sketch's error bound rules out
+            part, inside = part.filter(v < lo), c.under
+        elif lo < hi and rank < start + c.at_lo + c.between + c.at_hi:
+            return hi
+        else:
+            seen = c.at_lo if lo == hi else c.at_lo + c.between + c.at_hi
+            part, below, inside = part.filter(v > hi), start + seen, inside - c.under - seen
+    distinct = part.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``small`` rows are left.
     upto = F.sum("_n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hit = distinct.withColumn("_upto", upto).filter(F.col("_upto") > rank - below)
     return hit.agg(F.min(col)).first()[0]
@@ -44,10 +51,8 @@ def _at_rank(df: DataFrame, col: str, rank: int, n: int, lo: float, hi: float, s
 
 def exact_quantiles(df: DataFrame, cols, probs, small: int = SMALL_ROWS) -> dict[str, list]:
     """Linearly interpolated quantiles of each column, NULLs skipped."""
-    stats = df.agg(
-        *[f(c).alias(f"{a}_{c}") for c in cols for a, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    few = [c for c in cols if stats[f"n_{c}"] <= small]
+    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    few = [c for c in cols if counts[c] <= small]
     out = {}
     if few:
         row = df.agg(*[F.percentile(c, list(probs)).alias(c) for c in few]).first()
@@ -55,15 +60,14 @@ def exact_quantiles(df: DataFrame, cols, probs, small: int = SMALL_ROWS) -> dict
     for c in cols:
         if c in out:
             continue
-        n, lo, hi = stats[f"n_{c}"], stats[f"lo_{c}"], stats[f"hi_{c}"]
-        ranked = {}
+        n, ranked = counts[c], {}
         values = []
         for p in probs:
             place = p * (n - 1)
             low, high = math.floor(place), math.ceil(place)
             for r in (low, high):
                 if r not in ranked:
-                    ranked[r] = _at_rank(df, c, r, n, lo, hi, small)
+                    ranked[r] = _at_rank(df, c, r, n, small)
             values.append(ranked[low] + (ranked[high] - ranked[low]) * (place - low))
         out[c] = values
     return out

@@ -9,7 +9,7 @@ before it, so windows inside a chunk see all they need and no task holds more
 than a chunk, however many rows one station has.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,6 +37,10 @@ class Layout:
     def chunked(self) -> bool:
         return self.chunk_rows is not None
 
+    def of(self, keys) -> "Layout":
+        """The same layout under other key names."""
+        return replace(self, keys=tuple(keys))
+
     def by(self, *more) -> tuple:
         return self.keys + ((CHUNK,) if self.chunked else ()) + more
 
@@ -67,6 +71,22 @@ def choose_layout(
     return Layout(tuple(keys), time, None if fits else chunk_rows)
 
 
+def layout_from_span(
+    df: DataFrame,
+    keys=KEYS,
+    time: str = TIME,
+    max_series_rows: int = MAX_SERIES_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> Layout:
+    """The layout for an hourly table, from the time span of its source alone.
+
+    A station has one row per hour, so no series is longer than the span.
+    """
+    span = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    hours = 0 if span.lo is None else (span.hi - span.lo).total_seconds() / 3600 + 2
+    return Layout(tuple(keys), TIME, None if hours <= max_series_rows else chunk_rows)
+
+
 def number_rows(df: DataFrame, layout: Layout, bucket: str | None = None) -> DataFrame:
     """Add ``_pos``, the 0-based row number in the series, without one task per series.
 

@@ -56,7 +56,7 @@ def hourly_observations(events: DataFrame) -> DataFrame:
     """
     ev = station_events(events)
     hours = ev.groupBy(*KEYS, TIME).agg(*[v.alias(n) for n, v in hourly_values().items()])
-    span = hours.groupBy(*KEYS).agg(F.min(TIME).alias("lo"), F.max(TIME).alias("hi"))
+    span = ev.groupBy(*KEYS).agg(F.min(TIME).alias("lo"), F.max(TIME).alias("hi"))
     grid = span.select(
         *KEYS, F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias(TIME)
     )
