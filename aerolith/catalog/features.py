@@ -1,7 +1,5 @@
 """Gap repair, quality and feature queries."""
 
-from inspect import signature
-
 from pyspark.sql import functions as F
 
 from aerolith.catalog import feature_sql as Q
@@ -35,19 +33,24 @@ def _as_of():
 
 
 def _on_obs(make, *cols):
-    """A query over observations, narrowed to the columns it shows.
-
-    A ``make`` of two arguments also takes the layout of the series.
-    """
+    """A query over observations, narrowed to the columns it shows."""
 
     def run(spark, sf_dir):
-        obs = observations(spark, sf_dir)
-        out = make(obs, layout_of(spark, sf_dir)) if len(signature(make).parameters) > 1 else make(obs)
+        out = make(observations(spark, sf_dir))
         return rounded(out.select(*ID, *cols) if cols else out)
 
     return run
 
 
+def _on_series(make, *cols):
+    """The same, for operators that take the layout of the series."""
+
+    def run(spark, sf_dir):
+        return _on_obs(lambda o: make(o, layout_of(spark, sf_dir)), *cols)(spark, sf_dir)
+
+    return run
+
+
 CLEANED = tuple(c for c in WEATHER if c != "precipitation")
 LAGGED = tuple(Q.LAG_COLUMNS)
 CHANGED = tuple(Q.CHANGE_COLUMNS) + tuple(Q.RATE_COLUMNS)
@@ -77,14 +80,14 @@ def _freshness(spark, sf_dir):
 
 
 QUERIES = {
-    "ffill_limit": _on_obs(lambda o, l: impute.fill_gaps(o, l), *INTERPOLATED, *AIR),
-    "interpolate_linear": _on_obs(lambda o, l: impute.interpolate(impute.fill_gaps(o, l), layout=l), *INTERPOLATED),
-    "median_impute": _on_obs(lambda o, l: impute.median_impute(impute.fill_gaps(o, l), layout=l), *AIR),
-    "median_impute_centered": _on_obs(lambda o, l: impute.explore_clean(o, l), *RAW),
-    "duplicate_weather": _on_obs(
+    "ffill_limit": _on_series(lambda o, l: impute.fill_gaps(o, l), *INTERPOLATED, *AIR),
+    "interpolate_linear": _on_series(lambda o, l: impute.interpolate(impute.fill_gaps(o, l), layout=l), *INTERPOLATED),
+    "median_impute": _on_series(lambda o, l: impute.median_impute(impute.fill_gaps(o, l), layout=l), *AIR),
+    "median_impute_centered": _on_series(lambda o, l: impute.explore_clean(o, l), *RAW),
+    "duplicate_weather": _on_series(
         lambda o, l: quality.duplicate_weather(impute.handle_missing(o, l), layout=l), *INTERPOLATED, "is_duplicate"
     ),
-    "duplicate_count": _on_obs(lambda o, l: quality.duplicate_count(impute.explore_clean(o, l), WEATHER, l)),
+    "duplicate_count": _on_series(lambda o, l: quality.duplicate_count(impute.explore_clean(o, l), WEATHER, l)),
     "validate_ranges": _on_obs(quality.validate_ranges, "aqi", "temperature_2m", "pm2_5", "pm10"),
     "drop_incomplete": _on_obs(quality.drop_incomplete, *RAW),
     "dedupe_keep_last": lambda s, d: rounded(S.dedupe_last(with_copies(observations(s, d)))),
@@ -94,9 +97,9 @@ QUERIES = {
     "time_features": _on_obs(X.time_features, *CALENDAR, "season"),
     "cyclical": _on_obs(lambda o: X.cyclical(X.time_features(o)), *CYCLICAL),
     "interactions": _on_obs(X.interactions, *Q.INTERACTIONS),
-    "lag_features": _on_obs(lambda o, l: X.lag_features(o, l), *LAGGED),
-    "aqi_change_rates": _on_obs(lambda o, l: X.change_rates(o, l), *CHANGED),
-    "aqi_pct_change": _on_obs(lambda o, l: X.pct_change(o, layout=l), *PCT),
+    "lag_features": _on_series(lambda o, l: X.lag_features(o, l), *LAGGED),
+    "aqi_change_rates": _on_series(lambda o, l: X.change_rates(o, l), *CHANGED),
+    "aqi_pct_change": _on_series(lambda o, l: X.pct_change(o, layout=l), *PCT),
     "features_full": lambda s, d: rounded(_features(s, d)),
     "features_long": lambda s, d: rounded(chains.features_full(order_series(s, d), layout=order_layout(s, d))),
     "features_forecast": lambda s, d: rounded(_forecast_features(s, d)),
