@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("features", "statistics", "rules", "tables", "models", "forecasts", "streams")
+THEMES = ("features", "statistics", "rules", "tables", "models", "forecasts", "streams", "jobs")
 
 
 def _collect(name):

@@ -40,3 +40,20 @@ def metrics_merge(base: Column, over: Column) -> Column:
 def metric_rows(registry: DataFrame, *more) -> DataFrame:
     """One row per model version and metric."""
     return registry.select("name", "version", *more, F.explode("metrics").alias("metric", "value"))
+
+
+def entries(ranked: DataFrame, feature_names, path: str, saved_at: Column, version: int = 1) -> DataFrame:
+    """Registry rows of ranked model metrics: one per model, all metrics as a map."""
+    numbers = [c for c, t in ranked.dtypes if t == "double"]
+    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in numbers]))
+    return ranked.select(
+        F.replace(F.lower(F.trim("model")), F.lit(" "), F.lit("_")).alias("name"),
+        F.col("model").alias("display_name"),
+        F.lit(version).cast("int").alias("version"),
+        "best_model",
+        F.lit(path).alias("filesystem_path"),
+        F.array(*[F.lit(n) for n in feature_names]).alias("feature_names"),
+        F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("metrics"),
+        F.lit("training_pipeline").alias("registry_source"),
+        saved_at.alias("saved_at"),
+    )

@@ -19,24 +19,24 @@ def read_landing(spark: SparkSession, path: str, variables) -> DataFrame:
     return spark.read.schema(landing_record(variables)).json(path)
 
 
-def decode(records: DataFrame, variables) -> DataFrame:
-    """One row per hour of each response; NaN becomes NULL."""
+def decode(records: DataFrame, variables, *keep) -> DataFrame:
+    """One row per hour of each response; NaN becomes NULL.  ``keep`` names more columns to show."""
     zipped = F.arrays_zip(*variables)
     rows = records.select("station_id", "start_epoch", F.posexplode(zipped).alias("_i", "_v"))
     value = lambda v: F.when(~F.isnan(F.col(f"_v.{v}")), F.col(f"_v.{v}")).alias(v)
     time = hours_after(_epoch(F.col("start_epoch")), F.col("_i")).alias(TIME)
-    return rows.select("station_id", time, *[value(v) for v in variables])
+    return rows.select("station_id", time, *[value(v) for v in variables], *keep)
 
 
-def decode_weather(records: DataFrame) -> DataFrame:
+def decode_weather(records: DataFrame, *keep) -> DataFrame:
     """Observed or forecast weather."""
-    return decode(records, WEATHER)
+    return decode(records, WEATHER, *keep)
 
 
-def decode_air(records: DataFrame) -> DataFrame:
+def decode_air(records: DataFrame, *keep) -> DataFrame:
     """Pollutants; the feed's target variable takes its own name here."""
     feed = [*AIR[:-1], FEED_TARGET]
-    return decode(records, feed).withColumnRenamed(FEED_TARGET, AIR[-1])
+    return decode(records, feed, *keep).withColumnRenamed(FEED_TARGET, AIR[-1])
 
 
 def to_landing(obs: DataFrame, variables, batch_days: int = BATCH_DAYS, names=None) -> DataFrame:
