@@ -79,7 +79,8 @@ def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FE
         fitted[name] = M.train(rows, kind, used, **params.get(kind, {}))
         part = M.predict(rows, fitted[name], kind, used).select("split", "aqi", "predicted_aqi", F.lit(name).alias("model"))
         scored = part if scored is None else scored.unionByName(part)
-    metrics = M.metrics_table(scored)
+    table = M.metrics_table(scored)
+    metrics = features.sparkSession.createDataFrame(table.collect(), table.schema)  # one row per model
     ranked = M.select_best(metrics)
     best = ranked.filter("best_model").first()["model"]
     return Trained(fitted, metrics, ranked, best)

@@ -14,6 +14,7 @@ MONTH, SHARD = "part_month", "part_shard"
 SHARDS = 32
 ORDER = "ingest_seq"
 DELETED = "is_deleted"
+_DAY = "_day"
 
 
 def _placed(df: DataFrame, shards: int, keys) -> DataFrame:
@@ -25,15 +26,14 @@ def _placed(df: DataFrame, shards: int, keys) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, mode: str, partitions=(MONTH, SHARD)) -> None:
-    # One shuffle by partition and day keeps files few and splits a hot station by time.
-    (
-        df.repartition(*partitions, F.dayofmonth(TIME))
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+def _by_day(df: DataFrame) -> DataFrame:
+    """One shuffle by partition and day keeps files few and splits a hot station by time."""
+    return df.withColumn(_DAY, F.dayofmonth(TIME)).repartition(MONTH, SHARD, _DAY)
+
+
+def _write(df: DataFrame, path: str, mode: str) -> None:
+    writer = df.drop(_DAY).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(MONTH, SHARD).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +48,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
     """Add rows; nothing is written for an empty frame."""
     if not df.isEmpty():
-        _write(_placed(df, shards, keys), path, "append")
+        _write(_by_day(_placed(df, shards, keys)), path, "append")
 
 
 def upsert(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
@@ -63,9 +63,10 @@ def upsert(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
         touched = new.select(MONTH, SHARD).distinct()
         old = read_table(spark, path).join(touched, [MONTH, SHARD], "left_semi")
         new = new.unionByName(old, allowMissingColumns=True)
-    key = [*keys, TIME]
+    # Grouping by the shuffle's columns as well lets the same shuffle serve both steps.
+    key = [MONTH, SHARD, _DAY, *keys, TIME]
     row = F.struct(*[c for c in new.columns if c not in key])
-    latest = new.groupBy(*key).agg(F.max_by(row, F.col(ORDER)).alias("r")).select(*key, "r.*")
+    latest = _by_day(new).groupBy(*key).agg(F.max_by(row, F.col(ORDER)).alias("r")).select(*key, "r.*")
     _write(latest, path, "overwrite")
 
 

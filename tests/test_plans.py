@@ -48,3 +48,11 @@ def test_no_join_without_keys(spark, name):
 def test_last_rows_are_trimmed_before_the_shuffle(spark):
     text = plan(S.tail(table(spark, SMALL, "events").withColumnRenamed("user_id", "station_id"), 3, time="ts"))
     assert "WindowGroupLimit" in text
+
+
+def test_upsert_moves_rows_once(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(store, "_write", lambda df, path, mode: seen.append(plan(df)))
+    df = table(spark, SMALL, "events").selectExpr("cast(user_id as int) station_id", "ts as time", "event_id as ingest_seq", "value")
+    store.upsert(df, str(tmp_path / "t"), shards=2)
+    assert len(re.findall("Exchange", seen[0])) == 1
