@@ -58,7 +58,15 @@ def to_local(time: Column, tz: str | Column) -> Column:
 
 
 def hour_floor(time: Column) -> Column:
-    return F.date_trunc("hour", time).cast("timestamp_ntz")
+    """The whole hour at or before a naive time, whatever the session's zone."""
+    naive = time.cast("timestamp_ntz")
+    return naive - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(naive), F.date_part(F.lit("SECOND"), naive))
+
+
+def epoch_micros(time: Column) -> Column:
+    """Microseconds of a naive UTC time since 1970, whatever the session's zone."""
+    since = time.cast("timestamp_ntz") - F.expr("timestamp_ntz '1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def hour_ceil(time: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerolith.functions.bands import aqi_label
-from aerolith.functions.calendar import day_number
+from aerolith.functions.calendar import day_number, epoch_micros
 from aerolith.schema import KEYS, TIME
 
 
@@ -59,8 +59,7 @@ def nearest_match(
         )
         .filter(F.col("_p").isNull())
     )
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    off = lambda c: F.abs(micros(F.col(f"{c}.timestamp")) - micros(F.col("_at")))
+    off = lambda c: F.abs(epoch_micros(F.col(f"{c}.timestamp")) - epoch_micros(F.col("_at")))
     before, after = off("_prev"), off("_next")
     best = F.when(after.isNull() | (before <= after), F.col("_prev")).otherwise(F.col("_next"))
     offset = F.least(before, after)
@@ -77,8 +76,7 @@ def nearest_match(
 
 def closest_row(df: DataFrame, at: Column, keys=KEYS, time: str = TIME) -> DataFrame:
     """Per series the row closest to ``at``; of equals the earliest."""
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    distance = F.abs(micros(F.col(time)) - micros(at))
+    distance = F.abs(epoch_micros(F.col(time)) - epoch_micros(at))
     row = F.struct(*[c for c in df.columns if c not in keys])
     best = df.groupBy(*keys).agg(F.min_by(row, F.struct(distance, F.col(time))).alias("r"))
     return best.select(*keys, "r.*")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerolith.functions.calendar import epoch_micros
 from aerolith.operators import series as S
 from aerolith.schema import INTERPOLATED, KEYS, TIME
 
@@ -110,8 +111,7 @@ def table_profile(df: DataFrame, time: str = TIME) -> DataFrame:
         F.max(time).alias("max_time"),
     ).withColumn(
         "duration_hours",
-        (F.unix_micros(F.col("max_time").cast("timestamp")) - F.unix_micros(F.col("min_time").cast("timestamp")))
-        / F.lit(3.6e9),
+        (epoch_micros(F.col("max_time")) - epoch_micros(F.col("min_time"))) / F.lit(3.6e9),
     )
 
 

@@ -5,7 +5,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerolith.functions.bands import aqi_label
-from aerolith.functions.calendar import calendar_columns, to_local
+from aerolith.functions.calendar import calendar_columns, epoch_micros, to_local
 from aerolith.operators import series as S
 from aerolith.operators.quantiles import exact_quantiles
 from aerolith.schema import KEYS, TIME
@@ -293,7 +293,7 @@ def forecast_daily(pred: DataFrame, keys=KEYS, tz: str = "UTC") -> DataFrame:
 def forecast_kpis(pred: DataFrame, keys=KEYS) -> DataFrame:
     """Peak and low (the first of equals), mean, and their categories."""
     item = F.struct(F.col("timestamp"), F.col("predicted_aqi"))
-    since = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    since = epoch_micros(F.col("timestamp"))
     out = pred.groupBy(*keys).agg(
         F.max_by(item, F.struct(F.col("predicted_aqi"), -since)).alias("peak"),
         F.min_by(item, F.struct(F.col("predicted_aqi"), since)).alias("low"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from aerolith.functions.calendar import day_number, hours_after
+from aerolith.functions.calendar import day_number, epoch_micros, hours_after
 from aerolith.operators.series import dedupe_last
 from aerolith.schema import AIR, FEED_TARGET, KEYS, TIME, WEATHER, landing_record
 
@@ -51,7 +51,7 @@ def to_landing(obs: DataFrame, variables, batch_days: int = BATCH_DAYS, names=No
     packed = obs.groupBy(*KEYS, batch.alias("_batch")).agg(rows.alias("_rows"), F.min(TIME).alias("_start"))
     return packed.select(
         *KEYS,
-        F.unix_seconds(F.col("_start").cast("timestamp")).alias("start_epoch"),
+        F.floor(epoch_micros(F.col("_start")) / 1_000_000).alias("start_epoch"),
         *[F.col(f"_rows.{v}").alias(names.get(v, v)) for v in variables],
     )
 
