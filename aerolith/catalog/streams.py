@@ -55,7 +55,7 @@ def _hourly(spark, sf_dir):
     """Hours that the watermark has closed for certain."""
     out = _through_files(spark, J.hourly(J.event_stream(spark, sf_dir)), "hourly")
     newest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    closed = F.col(TIME) + F.expr("interval 1 hour") <= F.lit(newest).cast("timestamp_ntz") - F.expr("interval 2 hours")
+    closed = F.col(TIME) + F.expr("interval 1 hour") <= F.lit(str(newest)).cast("timestamp_ntz") - F.expr("interval 2 hours")
     return out.filter(closed)
 
 

@@ -42,7 +42,7 @@ def time_split(df: DataFrame, n_splits: int = 5, test_size: float = 0.10, time:
     side = F.lit(TRAIN)
     for start, name in ((cut.val_start, VALIDATION), (cut.test_start, TEST)):
         if start is not None:
-            side = F.when(F.col(time) >= F.lit(start).cast(df.schema[time].dataType), name).otherwise(side)
+            side = F.when(F.col(time) >= F.lit(str(start)).cast(df.schema[time].dataType), name).otherwise(side)
     return df.withColumn("split", side)
 
 
