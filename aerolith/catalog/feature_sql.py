@@ -1,6 +1,6 @@
 """SQL of gap repair and the feature chain, from ``obs``."""
 
-from aerolith.catalog.base import r, rs
+from aerolith.catalog.base import rs
 from aerolith.schema import (
     AIR,
     CALENDAR,

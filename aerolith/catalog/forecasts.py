@@ -24,7 +24,7 @@ from aerolith.catalog.statistics import label_sql
 from aerolith.functions import bands as B
 from aerolith.operators import forecast as G, match, models as M
 from aerolith.plans import chains
-from aerolith.schema import AIR, CHANGE_HOURS, KEYS, LAGS, RATE_HOURS, RAW, WEATHER
+from aerolith.schema import CHANGE_HOURS, LAGS, RATE_HOURS, RAW
 from aerolith.session import shared_dir
 from aerolith.sources.event_feed import air_observations, weather_observations
 

@@ -6,7 +6,6 @@ from aerolith.catalog.base import (
     ID,
     OBS,
     PREDICTIONS,
-    SPLIT_FORECAST,
     observations,
     predictions,
     r,
@@ -19,7 +18,7 @@ from aerolith.operators import lookup, stats as A
 from aerolith.schema import KEYS
 from aerolith.sources.event_feed import table
 
-ZONE = "Asia/Karachi"
+ZONE = "Asia/Tashkent"
 
 
 def _aqi(make):

@@ -12,7 +12,6 @@ from aerolith.catalog.base import (
     predictions,
     r,
     rounded,
-    rs,
     with_,
 )
 from aerolith.operators import features as X, series as S, stats as A

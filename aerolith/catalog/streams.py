@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from aerolith.catalog import feature_sql as Q
 from aerolith.catalog.base import (
     COPIES,
-    ID,
     OBS,
     PREDICTIONS,
     observations,

@@ -1,6 +1,6 @@
 """Fixed band tables as frames, and lookups into them."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aerolith.functions.bands import (
     BANDS,

@@ -1,6 +1,6 @@
 """Feature chains: the order of steps from raw hours to feature tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from aerolith.operators import features as X, impute, quality, series as S
 from aerolith.schema import INTERPOLATED
