@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
+from aerolith.llm.quality_rules import quality_rules
 from aerolith.llm.simhash import near_dedup
+from aerolith.llm.toxicity import toxicity
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +17,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_exact_dedup)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_exact_dedup, op7_quality_rules, op10_toxicity)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
