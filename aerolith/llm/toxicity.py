@@ -138,13 +138,18 @@ def bounded(rows: DataFrame, limit: int) -> DataFrame:
 def count(texts: DataFrame, least: int = RARE) -> Counts:
     """Counts over ``text, toxic`` (0 or 1); made by Spark, only what is no rarer than ``least`` reaches the driver."""
     words = texts.select("toxic", _column_words(F.col("text")).alias("w"))
-    starts = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
-    pair = F.explode(F.array_distinct(F.arrays_zip(starts.alias("a"), F.col("w").alias("b")))).alias("p")
-    pairs = saved(
+    # A pair is one string while texts are deduplicated: arrays of strings are distinct by hashing. Words have no spaces.
+    starts = F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
+    pair = F.explode(F.array_distinct(F.zip_with(starts, "w", lambda a, b: F.concat_ws(" ", a, b)))).alias("p")
+    found = (
         words.filter(F.size("w") > 0)
         .select("toxic", pair)
-        .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")),
+        .groupBy("p")
+        .agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
+    )
+    first = F.substring_index("p", " ", 1)
+    pairs = saved(
+        found.select(F.when(first != "", first).alias("a"), F.substring_index("p", " ", -1).alias("b"), "o", "t"),
         "word-pairs",
     )
     has = lambda c: F.sum((F.col(c) > 0).cast("long"))
