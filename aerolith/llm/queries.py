@@ -1,7 +1,8 @@
 """The operators over their whole tables, with the SQL that states their results where SQL can."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from aerolith.llm import chat_format
 from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
 from aerolith.llm.quality_rules import quality_rules
@@ -21,13 +22,44 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+# A record of another layout than the table's whose texts are made of control strings.
+MARKS = """{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},
+ {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}"""
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(0).cast("long").alias("part"), F.parse_json(F.lit(MARKS)).alias("record"))
+    records = chat_format.chat_rows(table(spark, sf_dir, "conversations")).unionByName(marks)
+    return chat_format.digests(chat_format.formatted(chat_format.canonical_turns(records)))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_exact_dedup, op7_quality_rules, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op6_exact_dedup, op7_quality_rules, op8_chat_format, op10_toxicity)
+}
+
+_CONTROL = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
+_ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)" + _CONTROL + r"', '\1\\\2\3', 'g')"
 
 ORACLES = {
+    "op8_chat_format": f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+o as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+    coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '') as learned,
+    sum(length({_ESCAPED.format("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")})
+        + length({_ESCAPED.format("text")}) + length('<|im_start|><|im_end|>') + 2) as chars
+  from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(learned) as bigint) as loss_chars,
+  sha256(learned) as loss_sha256, cast(chars as bigint) as formatted_chars from o
+""",
     "op6_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
