@@ -7,6 +7,7 @@ from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
 from aerolith.llm.quality_rules import quality_rules
 from aerolith.llm.simhash import near_dedup
+from aerolith.llm.substring_dedup import substring_dedup
 from aerolith.llm.toxicity import toxicity
 
 
@@ -14,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op6_exact_dedup, op7_quality_rules, op8_chat_format, op10_toxicity)
+    for f in (op1_simhash_near_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality_rules, op8_chat_format, op10_toxicity)
 }
 
 _CONTROL = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
