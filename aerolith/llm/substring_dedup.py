@@ -113,8 +113,11 @@ def _sent(high, low, key, pos, buckets: int, turn: int):
     order, same = _equal_runs(high, low)
     repeats = same.copy()
     repeats[:-1] |= same[1:]
-    one = order[~same]
-    place = np.where(repeats[~same], -1, pos[one]).astype(np.int32)
+    # In the order of the texts, so that keys stand in runs and compress.
+    one = np.sort(order[~same])
+    marked = np.zeros(len(order), bool)
+    marked[order] = repeats
+    place = np.where(marked[one], -1, pos[one]).astype(np.int32)
     to = (high[one] % _U64(buckets)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     names, starts = np.unique(to[by], return_index=True)
@@ -207,7 +210,8 @@ def _windows(buckets: int, limit: int):
 
 
 def _places(hashed: DataFrame) -> DataFrame:
-    found = hashed.repartition("bucket").mapInArrow(_repeated, _FOUND_SQL)
+    buckets = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = hashed.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, _FOUND_SQL)
     return found.groupBy("key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
 
@@ -246,11 +250,12 @@ def substring_dedup(docs: DataFrame, digest: bool = False, chunk_words: int = CH
     A text without a window (null, empty, short) keeps all words. Repeated rows repeat each other and lose all windows.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows are told apart by a hash of id and text: ids may repeat, and equal rows have equal places.
     keyed = documents(docs).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     anchors = _places(keyed.select("key", "text").mapInArrow(_anchors(buckets, chunk_words), _HASHED_SQL))
-    near = keyed.join(anchors, "key").select("key", "text", "pos")
+    # With doc_id, which is not needed here, both joins read one and the same shuffle of the texts.
+    near = keyed.join(anchors, "key").select("key", "text", "pos", "doc_id")
     repeats = _places(near.mapInArrow(_windows(buckets, chunk_words), _HASHED_SQL))
     return keyed.join(repeats, "key", "left").select("doc_id", "text", "pos").mapInArrow(
         _cut(digest), "doc_id long, n_words long, n_removed long, kept string"
