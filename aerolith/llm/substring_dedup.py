@@ -87,6 +87,8 @@ def _chunks(batches, columns: int, limit: int) -> Iterator[_Chunk]:
 _PLACES = [("key", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))]
 _HASHED = pa.schema([("bucket", pa.int32()), ("high", pa.list_(pa.int64())), ("low", pa.list_(pa.int32())), *_PLACES])
 _HASHED_SQL = "bucket int, high array<long>, low array<int>, key array<long>, pos array<int>"
+_PLACED = pa.schema([("bucket", pa.int32()), *_PLACES])
+_PLACED_SQL = "bucket int, key array<long>, pos array<int>"
 _FOUND = pa.schema([("key", pa.int64()), ("pos", pa.list_(pa.int32()))])
 _FOUND_SQL = "key long, pos array<int>"
 
@@ -147,30 +149,54 @@ def _sent(high, low, key, pos, buckets: int, turn: int):
         )
 
 
-def _by_key(key: np.ndarray, pos: np.ndarray):
-    order = np.argsort(key, kind="stable")
-    names, starts = np.unique(key[order], return_index=True)
-    if len(names):
-        yield batch(_FOUND, pa.array(names), _lists(pos[order], np.append(starts, len(order)), pa.int32()))
+def _repeated(buckets: int):
+    """Places whose hash another place has, from the rows of one partition, as one row per bucket of keys."""
+
+    def run(batches):
+        high, low, key, pos = [], [], [], []
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for b in batches:
+            hashes, marks, keys, places = (c.flatten().to_numpy() for c in b.columns[1:])
+            own = np.repeat(b.column(1).value_lengths().to_numpy() > 0, b.column(3).value_lengths().to_numpy())
+            found[0].append(keys[~own])
+            found[1].append(places[~own])
+            for to, values in ((high, hashes), (low, marks), (key, keys[own]), (pos, places[own])):
+                to.append(values)
+        if high:
+            high, low, key, pos = map(np.concatenate, (high, low, key, pos))
+            order, same = _equal_runs(high, low)
+            same[:-1] |= same[1:]
+            known = order[same]
+            known = known[pos[known] >= 0]
+            found[0].append(key[known])
+            found[1].append(pos[known])
+        key, pos = map(np.concatenate, found)
+        to = key.view(_U64) % _U64(buckets)
+        order = np.lexsort((pos, key, to))
+        names, starts = np.unique(to[order], return_index=True)
+        bounds = np.append(starts, len(order))
+        if len(names):
+            yield batch(
+                _PLACED,
+                pa.array(names.astype(np.int32)),
+                _lists(key[order], bounds, pa.int64()),
+                _lists(pos[order], bounds, pa.int32()),
+            )
+
+    return run
 
 
-def _repeated(batches):
-    """Places whose hash another place has, from the rows of one partition."""
-    high, low, key, pos = [], [], [], []
+def _gathered(batches):
+    """One row for each key of a partition, with all its places."""
+    key, pos = [], []
     for b in batches:
-        hashes, marks, keys, places = (c.flatten().to_numpy() for c in b.columns[1:])
-        sizes = b.column(1).value_lengths().to_numpy()
-        own = np.repeat(sizes > 0, b.column(3).value_lengths().to_numpy())
-        yield from _by_key(keys[~own], places[~own])
-        for to, values in ((high, hashes), (low, marks), (key, keys[own]), (pos, places[own])):
-            to.append(values)
-    if high:
-        high, low, key, pos = map(np.concatenate, (high, low, key, pos))
-        order, same = _equal_runs(high, low)
-        same[:-1] |= same[1:]
-        found = order[same]
-        found = found[pos[found] >= 0]
-        yield from _by_key(key[found], pos[found])
+        key.append(b.column(1).flatten().to_numpy())
+        pos.append(b.column(2).flatten().to_numpy())
+    if key:
+        key, pos = np.concatenate(key), np.concatenate(pos)
+        order = np.lexsort((pos, key))
+        names, starts = np.unique(key[order], return_index=True)
+        yield batch(_FOUND, pa.array(names), _lists(pos[order], np.append(starts, len(order)), pa.int32()))
 
 
 def _anchors(buckets: int, limit: int):
@@ -209,10 +235,10 @@ def _windows(buckets: int, limit: int):
     return run
 
 
-def _places(hashed: DataFrame) -> DataFrame:
-    buckets = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = hashed.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, _FOUND_SQL)
-    return found.groupBy("key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+def _places(hashed: DataFrame, buckets: int) -> DataFrame:
+    """``key, pos``: all repeated places of each text that has some. Both shuffles carry blocks, not single places."""
+    found = hashed.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated(buckets), _PLACED_SQL)
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(_gathered, _FOUND_SQL)
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -253,10 +279,10 @@ def substring_dedup(docs: DataFrame, digest: bool = False, chunk_words: int = CH
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows are told apart by a hash of id and text: ids may repeat, and equal rows have equal places.
     keyed = documents(docs).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    anchors = _places(keyed.select("key", "text").mapInArrow(_anchors(buckets, chunk_words), _HASHED_SQL))
+    anchors = _places(keyed.select("key", "text").mapInArrow(_anchors(buckets, chunk_words), _HASHED_SQL), buckets)
     # With doc_id, which is not needed here, both joins read one and the same shuffle of the texts.
     near = keyed.join(anchors, "key").select("key", "text", "pos", "doc_id")
-    repeats = _places(near.mapInArrow(_windows(buckets, chunk_words), _HASHED_SQL))
+    repeats = _places(near.mapInArrow(_windows(buckets, chunk_words), _HASHED_SQL), buckets)
     return keyed.join(repeats, "key", "left").select("doc_id", "text", "pos").mapInArrow(
         _cut(digest), "doc_id long, n_words long, n_removed long, kept string"
     )
