@@ -106,7 +106,7 @@ def _equal_runs(high: np.ndarray, low: np.ndarray):
     return order, same
 
 
-def _sent(high, low, key, pos, buckets: int, turn: int):
+def _sent(high, low, key, pos, buckets: int):
     """A chunk's places as rows for the shuffle.
 
     Of the places with equal hashes only one is sent to the task of that hash. If the chunk has more of them, all are
@@ -141,7 +141,7 @@ def _sent(high, low, key, pos, buckets: int, turn: int):
         none = np.array([0, 0])
         yield batch(
             _HASHED,
-            pa.array([turn % buckets], pa.int32()),
+            pa.array([int(key[known[0]]) % buckets], pa.int32()),
             _lists(np.zeros(0, np.int64), none, pa.int64()),
             _lists(np.zeros(0, np.int32), none, pa.int32()),
             _lists(key[known], ends, pa.int64()),
@@ -203,13 +203,13 @@ def _anchors(buckets: int, limit: int):
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def run(batches):
-        for turn, chunk in enumerate(_chunks(batches, 2, limit)):
+        for chunk in _chunks(batches, 2, limit):
             h, text, place, left = chunk.layout()
             hashes = window_hashes(h, ANCHOR, BASES[0])
             at = np.flatnonzero(cover[place % PERIOD] & (left >= ANCHOR))
             key = np.array(chunk.keys, np.int64)[text[at]]
             none = np.zeros(len(at), np.int32)
-            yield from _sent(hashes[at], none, key, place[at].astype(np.int32), buckets, turn)
+            yield from _sent(hashes[at], none, key, place[at].astype(np.int32), buckets)
 
     return run
 
@@ -218,7 +218,7 @@ def _windows(buckets: int, limit: int):
     """Around each repeated anchor, all windows that contain it."""
 
     def run(batches):
-        for turn, chunk in enumerate(_chunks(batches, 3, limit)):
+        for chunk in _chunks(batches, 3, limit):
             h, text, place, left = chunk.layout()
             near = np.zeros(len(h) + 1, np.int64)
             start = 0
@@ -230,7 +230,7 @@ def _windows(buckets: int, limit: int):
             high = window_hashes(h, WINDOW, BASES[0])[at]
             low = (window_hashes(h, WINDOW, BASES[1])[at] >> _U64(32)).astype(np.uint32).view(np.int32)
             key = np.array(chunk.keys, np.int64)[text[at]]
-            yield from _sent(high, low, key, place[at].astype(np.int32), buckets, turn)
+            yield from _sent(high, low, key, place[at].astype(np.int32), buckets)
 
     return run
 
