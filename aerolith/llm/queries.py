@@ -1,10 +1,12 @@
 """The operators over their whole tables, with the SQL that states their results where SQL can."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aerolith.llm import chat_format
 from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
+from aerolith.llm.packing import pack
 from aerolith.llm.quality_rules import quality_rules
 from aerolith.llm.simhash import near_dedup
 from aerolith.llm.substring_dedup import substring_dedup
@@ -15,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -44,7 +50,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality_rules, op8_chat_format, op10_toxicity)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_best_fit_packing,
+        op5_substring_dedup,
+        op6_exact_dedup,
+        op7_quality_rules,
+        op8_chat_format,
+        op10_toxicity,
+    )
 }
 
 _CONTROL = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
