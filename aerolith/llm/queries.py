@@ -8,6 +8,7 @@ from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
 from aerolith.llm.packing import pack
 from aerolith.llm.quality_rules import quality_rules
+from aerolith.llm.secret_scan import secret_scan
 from aerolith.llm.simhash import near_dedup
 from aerolith.llm.substring_dedup import substring_dedup
 from aerolith.llm.toxicity import toxicity
@@ -44,6 +45,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(chat_format.canonical_turns(records)))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets", F.sha2("text", 256).alias("masked_sha256")
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +64,7 @@ QUERIES = {
         op6_exact_dedup,
         op7_quality_rules,
         op8_chat_format,
+        op9_secret_scan,
         op10_toxicity,
     )
 }
