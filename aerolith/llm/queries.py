@@ -7,8 +7,10 @@ from aerolith.llm import chat_format
 from aerolith.llm.common import table
 from aerolith.llm.exact_dedup import exact_dedup
 from aerolith.llm.packing import pack
+from aerolith.llm.quality_classifier import quality_classifier
 from aerolith.llm.quality_rules import quality_rules
 from aerolith.llm.secret_scan import secret_scan
+from aerolith.llm.sentencepiece_fst import round_trip
 from aerolith.llm.simhash import near_dedup
 from aerolith.llm.substring_dedup import substring_dedup
 from aerolith.llm.toxicity import toxicity
@@ -22,6 +24,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -60,6 +70,8 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup,
         op2_best_fit_packing,
+        op3_quality_classifier,
+        op4_sentencepiece,
         op5_substring_dedup,
         op6_exact_dedup,
         op7_quality_rules,

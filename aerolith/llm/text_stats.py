@@ -2,9 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from aerolith.llm.common import batch, documents
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Frequent function words of the corpus languages (English, German, French, Spanish).
 FUNCTION_WORDS = frozenset(
@@ -65,16 +63,18 @@ def stats(text: str) -> tuple[int, ...]:
     )
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in STATS)])
-_SCHEMA = ", ".join(f"{c} long" for c in ("doc_id", *STATS))
-
-
-def text_stats(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of STATS for every row; a null text counts as empty."""
+def text_stats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry`` and the counts of STATS for every row; a null text counts as empty."""
+    given = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry
+    )
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in STATS])
+    schema = T.StructType([f for f in given.schema if f.name != "text"] + counts.fields)
 
     def run(batches):
         for b in batches:
             rows = np.array([stats(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(STATS))
-            yield batch(_ARROW, b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS))))
+            kept = {n: b.column(n) for n in ("doc_id", *carry)}
+            yield pa.RecordBatch.from_pydict(kept | {c: pa.array(rows[:, i]) for i, c in enumerate(STATS)})
 
-    return documents(docs).mapInArrow(run, _SCHEMA)
+    return given.mapInArrow(run, schema)
