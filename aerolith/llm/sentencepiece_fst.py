@@ -16,7 +16,8 @@ from aerolith.llm.common import batch, documents
 SPACE_MARK = "▁"
 # Kinds of pieces and of models in the file format.
 NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
-CACHE = 200_000
+# Chunks and pairs of pieces that a worker remembers at most.
+CACHE, PAIRS = 500_000, 1_000_000
 BYTES_WEIGHT = 100.0  # of a character without a piece in a unigram model: more than any piece
 
 
@@ -143,7 +144,7 @@ class Transducer:
         """
         known = self._compatible.get((left, right))
         if known is None:
-            if len(self._compatible) >= 4 * CACHE:
+            if len(self._compatible) >= PAIRS:
                 self._compatible.clear()
             known = self._compatible[left, right] = self._apart(left, right)
         return known
