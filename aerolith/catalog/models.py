@@ -103,8 +103,11 @@ def _score_batch(spark, sf_dir):
     return M.score(table, LINEAR).select(*ID, "aqi", "predicted_aqi")
 
 
+RUN_START = "2023-12-31"
+
+
 def _runs(spark, sf_dir):
-    """Registry rows: every station and day trains every naive model once."""
+    """Registry rows: every station and day trains every naive model once; versions count days."""
     scored = naive_scores(observations(spark, sf_dir), layout_of(spark, sf_dir)).filter("aqi is not null and predicted_aqi is not null")
     error = F.col("predicted_aqi") - F.col("aqi")
     per = scored.groupBy("model", *KEYS, F.to_date(TIME).alias("d")).agg(
@@ -116,7 +119,7 @@ def _runs(spark, sf_dir):
     return per.select(
         normalize_key(shown).alias("name"),
         shown.alias("display_name"),
-        F.dayofyear("d").alias("version"),
+        F.datediff("d", F.lit(RUN_START).cast("date")).alias("version"),
         F.lit(False).alias("best_model"),
         F.lit("models").alias("filesystem_path"),
         F.array(F.lit("aqi")).alias("feature_names"),
@@ -194,7 +197,7 @@ wide as (select model, {', '.join(f"max({m}) filter (where split = '{s}') as {s}
 RUNS = f"""
 {NAIVE_SQL.strip()},
 runs as (select replace(lower(model || ' ' || station_id), ' ', '_') as name, model || ' ' || station_id as display_name,
-  cast(dayofyear(cast(time as date)) as int) as version, max(time) as saved_at,
+  cast(date_diff('day', date '{RUN_START}', cast(time as date)) as int) as version, max(time) as saved_at,
   case when model <> 'Two Hours Ago' then sqrt(avg((predicted_aqi - aqi) * (predicted_aqi - aqi))) end as rmse,
   avg(abs(predicted_aqi - aqi)) as mae
   from naive where aqi is not null and predicted_aqi is not null group by model, station_id, cast(time as date))

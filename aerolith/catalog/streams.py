@@ -118,7 +118,9 @@ ORACLES = {
         select station_id, time, {rs(Q.LAG_COLUMNS + Q.CHANGE_COLUMNS)} from lagged""",
     "stream_error_monitor": f"""{with_(OBS, PREDICTIONS,
         '''j as (select o.station_id, o.time, o.aqi, p.timestamp, p.predicted_aqi from obs o join pred p
-             on o.station_id = p.station_id and o.time = date_trunc('hour', p.timestamp))''')}
+             on o.station_id = p.station_id and p.timestamp between o.time - interval 1 hour and o.time + interval 1 hour
+             qualify row_number() over (partition by o.station_id, o.time
+               order by abs(epoch_us(p.timestamp) - epoch_us(o.time)), p.timestamp) = 1)''')}
         select station_id, time, timestamp, {rs(('aqi', 'predicted_aqi'))}, {r('predicted_aqi - aqi', 'error')},
         {r('abs(predicted_aqi - aqi)', 'abs_error')}, {r(_pct, 'pct_error')},
         case when predicted_aqi - aqi > 0 then 'over' when predicted_aqi - aqi <= 0 then 'under' end as direction,

@@ -138,11 +138,12 @@ def _prediction_cache(spark, sf_dir):
 def _union_batches(spark, sf_dir):
     """Batches of a week that share their boundary day; the later one is higher by 1."""
     obs = observations(spark, sf_dir)
-    weeks = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-31")]
     day = F.to_date(TIME)
+    span = obs.agg(F.min(day).alias("start"), F.date_add(F.max(day), 1).alias("end"))
+    weeks = landing.backfill_batches(span, 7).orderBy("batch").collect()  # a row per week of the span
     batches = [
-        obs.filter(day.between(F.lit(a).cast("date"), F.lit(b).cast("date"))).withColumn("aqi", F.col("aqi") + i)
-        for i, (a, b) in enumerate(weeks)
+        obs.filter(day.between(F.lit(w["batch_start"]), F.lit(w["batch_end"]))).withColumn("aqi", F.col("aqi") + i)
+        for i, w in enumerate(weeks)
     ]
     return landing.union_batches(batches)
 
@@ -213,7 +214,7 @@ ORACLES = {
     "csv_export": f"{with_(OBS, PREDICTIONS)} select station_id, timestamp, {r('predicted_aqi')} from pred",
     "prediction_cache": f"""{with_(OBS, PREDICTIONS)} select station_id, timestamp, {r('predicted_aqi')},
         date_trunc('day', timestamp) as generated_at, {bands_sql('predicted_aqi', band_keys(1))} as aqi_category from pred""",
-    "union_batches": f"""{with_(OBS)} select station_id, time, {rs([c for c in RAW if c != 'aqi'])},
-        {r("aqi + case when time >= timestamp '2024-01-15' then 2 when time >= timestamp '2024-01-08' then 1 else 0 end", 'aqi')}
-        from obs""",
+    "union_batches": f"""{with_(OBS, "first as (select min(cast(time as date)) as day from obs)")}
+        select station_id, time, {rs([c for c in RAW if c != 'aqi'])},
+        {r("aqi + date_diff('day', day, cast(time as date)) // 7", 'aqi')} from obs cross join first""",
 }

@@ -17,7 +17,7 @@ from aerolith.functions.bands import (
 )
 from aerolith.operators import features as X, lookup, match, series as S
 from aerolith.operators.models import LinearModel, score
-from aerolith.operators.stats import forecast_kpis, regression_metrics
+from aerolith.operators.stats import forecast_kpis, metric_columns
 from aerolith.plans import chains
 from aerolith.schema import (
     CALENDAR,
@@ -302,11 +302,18 @@ def current_aqi(raw: DataFrame, model: LinearModel, tz: str = "UTC", layout=None
 
 
 def alerts(current: DataFrame, pred: DataFrame, value: str = "aqi") -> DataFrame:
-    """Alert level, groups and advice of the current AQI, with the forecast's peak."""
+    """Alert level, groups and advice of the current AQI, with the forecast's peak.
+
+    Where the current AQI is unknown, the first prediction stands for it.
+    """
     peak = forecast_kpis(pred).select(
         *KEYS, F.col("peak_aqi").alias("peak_aqi_predicted"), "peak_time"
     )
-    advised = lookup.health_advice(current.select(*KEYS, F.col(value).alias("current_aqi")), "current_aqi")
+    first = pred.groupBy(*KEYS).agg(F.min_by("predicted_aqi", "timestamp").alias("_first"))
+    known = first.join(current.select(*KEYS, F.col(value).alias("_now")), list(KEYS), "left").select(
+        *KEYS, F.coalesce("_now", "_first").alias("current_aqi")
+    )
+    advised = lookup.health_advice(known, "current_aqi")
     v = F.col("current_aqi")
     return advised.join(peak, list(KEYS)).select(
         *KEYS,
@@ -323,7 +330,8 @@ def evaluate(actual: DataFrame, pred: DataFrame, tolerance_hours: int = 1, by=KE
     """Error metrics of matched hours, category hits and verdict shares."""
     matched = match.forecast_error(match.nearest_match(actual, pred, tolerance_hours))
     both = matched.filter(F.col("aqi").isNotNull() & F.col("predicted_aqi").isNotNull())
-    counts = both.groupBy(*by).agg(
+    return both.groupBy(*by).agg(
+        *[v.alias(n) for n, v in metric_columns("aqi", "predicted_aqi").items()],
         F.count(F.lit(1)).alias("matched"),
         F.sum(F.col("category_match").cast("long")).alias("category_hits"),
         *[
@@ -331,4 +339,3 @@ def evaluate(actual: DataFrame, pred: DataFrame, tolerance_hours: int = 1, by=KE
             for v in ("excellent", "good", "fair", "poor")
         ],
     )
-    return regression_metrics(both, by).join(counts, list(by))

@@ -12,6 +12,29 @@ def join_feeds(weather: DataFrame, air: DataFrame, keys=(*KEYS, TIME)) -> DataFr
     return weather.join(air, list(keys), "inner")
 
 
+def last_run(predicted: DataFrame, keys=KEYS) -> DataFrame:
+    """One prediction for each time: that of the last run, then the lower value."""
+    runs = ["generated_at"] if "generated_at" in predicted.columns else []
+    order = F.struct(*runs, (-F.col("predicted_aqi")).alias("low"))
+    return predicted.groupBy(*keys, "timestamp").agg(F.max_by("predicted_aqi", order).alias("predicted_aqi"))
+
+
+def nearest_by_hour(predicted: DataFrame, tolerance_hours: int = 1, keys=KEYS) -> DataFrame:
+    """For each hour within the tolerance of a prediction the one that ``nearest_match`` gives it.
+
+    A table without observations, so that a stream of hours can be joined to it.
+    """
+    t = F.col("timestamp")
+    gap = F.expr(f"interval {int(tolerance_hours)} hour")
+    low = F.date_trunc("hour", t - gap).cast("timestamp_ntz")
+    hours = F.sequence(low, F.date_trunc("hour", t + gap).cast("timestamp_ntz"), F.expr("interval 1 hour"))
+    each = last_run(predicted, keys).withColumn(TIME, F.explode(hours)).filter(F.col(TIME) >= t - gap)
+    off = F.abs(epoch_micros(t) - epoch_micros(F.col(TIME)))
+    return each.groupBy(*keys, TIME).agg(
+        F.min_by(F.struct("timestamp", "predicted_aqi"), F.struct(off, "timestamp")).alias("p")
+    ).select(*keys, TIME, "p.*")
+
+
 def nearest_match(
     actual: DataFrame, predicted: DataFrame, tolerance_hours: int = 1, keys=KEYS
 ) -> DataFrame:
@@ -19,13 +42,13 @@ def nearest_match(
 
     Both sides are merged in time order and each observation looks at the
     prediction before and after it: no pairs are formed.  Series are cut into
-    days; predictions near midnight also go to the neighbouring day.  Of two
-    equally close predictions the earlier wins.
+    days; a prediction goes to every day that its tolerance reaches.  Of two
+    equally close predictions the earlier wins; of several for one time, that of
+    the last run (``generated_at``, if there is one), then the lower value.
     """
     gap = F.expr(f"interval {int(tolerance_hours)} hour")
-    days = lambda t: F.array_distinct(
-        F.array(day_number(t), day_number(t - gap), day_number(t + gap))
-    )
+    days = lambda t: F.sequence(day_number(t - gap), day_number(t + gap))
+    predicted = last_run(predicted, keys)
     blank = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
     a = actual.select(
         *keys,

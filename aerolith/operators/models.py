@@ -68,7 +68,10 @@ def train(df: DataFrame, kind: str, features=MODEL_FEATURES, label: str = TARGET
     if kind == "elastic_net":
         scaled = scale(df, features, F.col("split") == TRAIN)
         fit = assemble(scaled, features).filter(F.col("split") == TRAIN)
-        return LinearRegression(solver=ELASTIC_NET_SOLVER, **common, **{**ELASTIC_NET, **overrides}).fit(fit)
+        params = {**ELASTIC_NET, **overrides}
+        spread = fit.agg(F.stddev_pop(label)).first()[0] or 1.0
+        params |= penalties(params["regParam"], params["elasticNetParam"], spread)
+        return LinearRegression(solver=ELASTIC_NET_SOLVER, **common, **params).fit(fit)
     rows = assemble(df, features)
     if kind == "forest":
         return RandomForestRegressor(**common, **{**FOREST, **overrides}).fit(rows.filter(F.col("split") == TRAIN))
@@ -83,6 +86,26 @@ def train(df: DataFrame, kind: str, features=MODEL_FEATURES, label: str = TARGET
     raise ValueError(f"unknown model kind {kind}")
 
 
+def penalties(alpha: float, l1_ratio: float, spread: float) -> dict:
+    """Parameters under which the solver's L1 and L2 penalties are ``alpha`` times the ratio and times the rest.
+
+    The solver standardises the label, which divides the L2 penalty by its
+    deviation ``spread`` and leaves the L1 penalty.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * spread
+    return {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 + l2 else 0.0}
+
+
+def linear_of(model: Model, scaler, features=MODEL_FEATURES) -> LinearModel:
+    """A fitted linear model and its scaler as weights of the raw features: scores and rolls out without either."""
+    weights, intercept = {}, float(model.intercept)
+    for name, w in zip(features, model.coefficients.toArray().tolist()):
+        mean, spread = scaler.means[name], scaler.deviations[name] or 1.0
+        weights[name] = w / spread
+        intercept -= w * (mean or 0.0) / spread
+    return LinearModel(weights, intercept)
+
+
 def predict(df: DataFrame, model: Model, kind: str, features=MODEL_FEATURES) -> DataFrame:
     """Clamped predictions of a trained model for every row of a split table."""
     rows = scale(df, features, F.col("split") == TRAIN) if kind == "elastic_net" else df
@@ -139,22 +162,23 @@ def linear_shap(df: DataFrame, model: LinearModel) -> DataFrame:
 
 
 def permutation_importance(
-    df: DataFrame, model: Model, features=MODEL_FEATURES, actual: str = TARGET, group_rows: int = 50_000
+    df: DataFrame, model: Model, features=MODEL_FEATURES, actual: str = TARGET
 ) -> DataFrame:
     """Rise of the RMSE when one feature is exchanged between rows.
 
-    Rows are put in hash order within hash groups of about ``group_rows``, and
-    each row takes the feature value of the row before it; every row is scored
-    once per feature.
+    Rows of a station and month are put in hash order; each takes the feature
+    value of the row before it, the first one that of the last.  Groups are as
+    long as a month has hours, whatever the size of the table, and every row is
+    scored once per feature.
     """
-    groups = 1 + df.count() // group_rows
     mix = F.xxhash64(*KEYS, TIME)
     values = F.array(*[F.col(f).cast("double") for f in features])
     spread = df.select(*KEYS, TIME, actual, values.alias("x"), mix.alias("h")).withColumn(
-        "g", F.pmod(F.col("h"), F.lit(groups))
+        "g", F.date_trunc("month", TIME)
     )
-    order = Window.partitionBy("g").orderBy("h", *KEYS, TIME)
-    shuffled = spread.withColumn("other", F.coalesce(F.lag("x", 1).over(order), F.col("x")))
+    group = Window.partitionBy(*KEYS, "g").orderBy("h", TIME)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shuffled = spread.withColumn("other", F.coalesce(F.lag("x", 1).over(group), F.last("x").over(whole)))
     each = shuffled.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
     swapped = F.transform(
         "x", lambda v, j: F.when(j == F.col("i"), F.get(F.col("other"), j)).otherwise(v)

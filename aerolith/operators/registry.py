@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NAMED = ("name", "version")
+# Fixed value: what marks rows that training has written.
+SOURCE = "training_pipeline"
 
 
 def upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def latest(registry: DataFrame) -> DataFrame:
 
 def best(registry: DataFrame, metric: str, order: str = "min") -> DataFrame:
     """The version of each model with the best metric, else its latest version."""
-    value = F.try_element_at(F.col("metrics"), F.lit(metric))
+    value = F.nanvl(F.try_element_at(F.col("metrics"), F.lit(metric)), F.lit(None).cast("double"))
     ranked = value.asc_nulls_last() if order == "min" else value.desc_nulls_last()
     w = Window.partitionBy("name").orderBy(ranked, F.col("version").desc())
     return registry.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -42,18 +44,26 @@ def metric_rows(registry: DataFrame, *more) -> DataFrame:
     return registry.select("name", "version", *more, F.explode("metrics").alias("metric", "value"))
 
 
-def entries(ranked: DataFrame, feature_names, path: str, saved_at: Column, version: int = 1) -> DataFrame:
-    """Registry rows of ranked model metrics: one per model, all metrics as a map."""
+def entries(ranked: DataFrame, feature_names, path: str, saved_at: Column, registry: DataFrame | None = None) -> DataFrame:
+    """Registry rows of ranked model metrics: one per model, all metrics as a map.
+
+    A model's version is one above its highest in ``registry``, else 1.
+    """
     numbers = [c for c, t in ranked.dtypes if t == "double"]
     pairs = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in numbers]))
-    return ranked.select(
+    rows = ranked.select(
         F.replace(F.lower(F.trim("model")), F.lit(" "), F.lit("_")).alias("name"),
         F.col("model").alias("display_name"),
-        F.lit(version).cast("int").alias("version"),
+        F.lit(1).cast("int").alias("version"),
         "best_model",
         F.lit(path).alias("filesystem_path"),
         F.array(*[F.lit(n) for n in feature_names]).alias("feature_names"),
         F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("metrics"),
-        F.lit("training_pipeline").alias("registry_source"),
+        F.lit(SOURCE).alias("registry_source"),
         saved_at.alias("saved_at"),
     )
+    if registry is None:
+        return rows
+    known = registry.groupBy("name").agg(F.max("version").alias("_known"))
+    next_version = (F.coalesce("_known", F.lit(0)) + 1).cast("int")
+    return rows.join(known, "name", "left").withColumn("version", next_version).select(*rows.columns)

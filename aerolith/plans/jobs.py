@@ -7,18 +7,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from aerolith.operators import features as X, forecast, match, models as M, registry as R, series as S, split as P
 from aerolith.plans import chains
 from aerolith.schema import AIR, FEED_TARGET, KEYS, MODEL_FEATURES, TIME, WEATHER
+from aerolith.session import shared_dir
 from aerolith.sources import landing, store
 
 
 def observed(weather: DataFrame, air: DataFrame) -> DataFrame:
     """Decoded feed responses, one row per hour known to both feeds.
 
-    Where responses of a feed overlap, the one that starts last counts.
+    Where responses of a feed overlap, the one that arrived last counts
+    (``ingest_seq``); without that column, and at equal arrival, the one that
+    starts last.
     """
 
     def hours(records, decode):
-        rows = decode(records, "start_epoch")
-        return S.dedupe_last(rows, "start_epoch").drop("start_epoch")
+        arrival = ["ingest_seq"] if "ingest_seq" in records.columns else []
+        rows = decode(records, *arrival, "start_epoch")
+        rows = rows.withColumn("_order", F.struct(*arrival, "start_epoch"))
+        return S.dedupe_last(rows, "_order").drop("_order", "start_epoch", *arrival)
 
     return match.join_feeds(hours(weather, landing.decode_weather), hours(air, landing.decode_air))
 
@@ -66,6 +71,13 @@ class Trained:
     metrics: DataFrame
     ranked: DataFrame
     best: str
+    features: list
+    linear: dict  # kinds that score and roll out as a LinearModel on raw features
+
+    def roll_out(self, name: str | None = None):
+        """What ``daily_forecast`` takes for a model of this run, the best one if none is named."""
+        name = name or self.best
+        return self.linear.get(name, self.models[name])
 
 
 def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FEATURES) -> Trained:
@@ -74,25 +86,37 @@ def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FE
     matrix = X.numeric_only(X.leakage_guard(X.model_matrix(features))).columns
     used = [n for n in names if n in matrix]
     rows = P.time_split(X.season_onehot(features).select(*KEYS, TIME, "aqi", *used)).persist()
-    fitted, scored = {}, None
+    fitted, linear, scored = {}, {}, None
     for kind, name in MODEL_NAMES.items():
         fitted[name] = M.train(rows, kind, used, **params.get(kind, {}))
+        if kind == "elastic_net":
+            scaler = P.fit_scaler(rows.filter(F.col("split") == P.TRAIN), used)
+            linear[name] = M.linear_of(fitted[name], scaler, used)
         part = M.predict(rows, fitted[name], kind, used).select("split", "aqi", "predicted_aqi", F.lit(name).alias("model"))
         scored = part if scored is None else scored.unionByName(part)
     table = M.metrics_table(scored)
     metrics = features.sparkSession.createDataFrame(table.collect(), table.schema)  # one row per model
+    rows.unpersist()
     ranked = M.select_best(metrics)
     best = ranked.filter("best_model").first()["model"]
-    return Trained(fitted, metrics, ranked, best)
+    return Trained(fitted, metrics, ranked, best, used, linear)
 
 
-def register(trained: Trained, path: str, saved_at: Column, names=MODEL_FEATURES) -> DataFrame:
-    """The registry rows of a training run."""
-    return R.entries(trained.ranked.drop("rank"), names, path, saved_at)
+def register(trained: Trained, path: str, saved_at: Column, registry: DataFrame | None = None) -> DataFrame:
+    """The registry rows of a training run: next versions, with the features that were used."""
+    return R.entries(trained.ranked.drop("rank"), trained.features, path, saved_at, registry)
 
 
 def daily_forecast(history: DataFrame, future: DataFrame, model, start: Column, generated_at: Column, path: str, steps: int = forecast.STEPS):
-    """Roll the chosen model ahead and cache the predictions as nested records."""
-    roll = forecast.forecast_linear if isinstance(model, M.LinearModel) else forecast.forecast_trees
-    pred = roll(history, future, model, start, steps)
+    """Roll the chosen model ahead and cache the predictions as nested records.
+
+    ``model`` is a LinearModel, a TreeEnsemble, or a fitted ensemble as ``train`` returns it.
+    """
+    if isinstance(model, M.LinearModel):
+        pred = forecast.forecast_linear(history, future, model, start, steps)
+    else:
+        if not isinstance(model, forecast.TreeEnsemble):
+            spark = history.sparkSession
+            model = forecast.TreeEnsemble.of(model, spark, shared_dir(spark, "ensemble"))
+        pred = forecast.forecast_trees(history, future, model, start, steps)
     store.write_predictions(store.prediction_records(pred, generated_at), path)

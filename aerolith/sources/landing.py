@@ -22,7 +22,8 @@ def read_landing(spark: SparkSession, path: str, variables) -> DataFrame:
 def decode(records: DataFrame, variables, *keep) -> DataFrame:
     """One row per hour of each response; NaN becomes NULL.  ``keep`` names more columns to show."""
     zipped = F.arrays_zip(*variables)
-    rows = records.select("station_id", "start_epoch", F.posexplode(zipped).alias("_i", "_v"))
+    more = [c for c in keep if c != "start_epoch"]
+    rows = records.select("station_id", "start_epoch", *more, F.posexplode(zipped).alias("_i", "_v"))
     value = lambda v: F.when(~F.isnan(F.col(f"_v.{v}")), F.col(f"_v.{v}")).alias(v)
     time = hours_after(_epoch(F.col("start_epoch")), F.col("_i")).alias(TIME)
     return rows.select("station_id", time, *[value(v) for v in variables], *keep)

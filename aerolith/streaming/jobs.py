@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from aerolith.functions.bands import affected_groups, alert_level, aqi_category
-from aerolith.functions.calendar import hour_floor
 from aerolith.operators import match
 from aerolith.operators.features import CHANGE_ROWS
 from aerolith.operators.quality import feature_range, validate_ranges
@@ -196,46 +195,61 @@ LAG_OUTPUT = "station_id int, time timestamp_ntz, " + ", ".join(
     [f"{c}_lag_{n}h double" for c, ns in LAGS.items() for n in ns]
     + [f"aqi_change_{n}h double" for n in CHANGE_HOURS]
 )
-LAG_STATE = ", ".join(f"{c} array<double>" for c in _BUFFERED)
+# Rows kept beyond those that lags reach: an hour that many rows back can still be corrected.
+LATE_ROWS = 48
+LAG_STATE = "time array<long>, " + ", ".join(f"{c} array<double>" for c in _BUFFERED)
 
 
 def _lag_rows(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Lags of the new hours of one station, from its last rows kept as state."""
-    rows = pd.concat(list(batches)).sort_values(TIME)
-    old = pd.DataFrame(dict(zip(_BUFFERED, state.get))) if state.exists else pd.DataFrame(columns=list(_BUFFERED))
-    whole = pd.concat([old, rows[list(_BUFFERED)]], ignore_index=True).astype("float64")
-    keep = whole.tail(CHANGE_ROWS)
-    state.update(tuple([None if pd.isna(v) else float(v) for v in keep[c]] for c in _BUFFERED))
-    out = {"station_id": rows["station_id"].to_numpy(), TIME: rows[TIME].to_numpy()}
-    new = slice(len(old), None)
+    """Lags of one station's new hours, and again of the known hours after them, which they change."""
+    rows = pd.concat(list(batches)).sort_values([TIME, "ingest_seq"], kind="stable")
+    new = rows.drop_duplicates(TIME, keep="last").set_index(TIME)[list(_BUFFERED)].astype("float64")
+    old = new.iloc[:0]
+    if state.exists:
+        times, *values = state.get
+        old = pd.DataFrame(dict(zip(_BUFFERED, values)), index=pd.to_datetime(times, unit="us"), dtype="float64")
+    full = len(old) == CHANGE_ROWS + LATE_ROWS
+    if full:  # what came before the first kept row is no longer known
+        new = new[new.index >= old.index[0]]
+    whole = pd.concat([old[~old.index.isin(new.index)], new]).sort_index()
+    keep = whole.tail(CHANGE_ROWS + LATE_ROWS)
+    times = [int(t) for t in keep.index.astype("datetime64[us]").astype("int64")]
+    state.update((times, *([None if pd.isna(v) else float(v) for v in keep[c]] for c in _BUFFERED)))
+    out = {}
     for c, ns in LAGS.items():
         for n in ns:
-            out[f"{c}_lag_{n}h"] = whole[c].shift(n).to_numpy()[new]
+            out[f"{c}_lag_{n}h"] = whole[c].shift(n)
     for n in CHANGE_HOURS:
-        out[f"aqi_change_{n}h"] = (whole["aqi"].shift(1) - whole["aqi"].shift(1 + n)).to_numpy()[new]
-    yield pd.DataFrame(out)
+        out[f"aqi_change_{n}h"] = whole["aqi"].shift(1) - whole["aqi"].shift(1 + n)
+    table = pd.DataFrame(out, index=whole.index)
+    changed = table.iloc[CHANGE_ROWS if full else 0 :]
+    changed = changed[changed.index >= new.index[0]] if len(new) else changed.iloc[:0]
+    changed = changed.rename_axis(TIME).reset_index()
+    changed.insert(0, "station_id", key[0])
+    yield changed
 
 
 def lag_state(hours: DataFrame) -> DataFrame:
-    """Lags over a stream that brings each station's hours in order.
-
-    State per station is the last rows that lags reach.  A trigger's rows of one
-    station form one group, so bound them by the files taken per trigger.
+    """Lags over a stream of hours, in any order; a corrected hour replaces the known one.
+
+    State per station is the rows that lags reach and LATE_ROWS more.  Of several
+    rows for an hour the last counts (``ingest_seq``, if there is one).  A new or
+    corrected hour also sends the hours after it again: put the output into a
+    table by station and hour.  Hours before the rows of a full state are left
+    out.  A trigger's rows of one station form one group, so bound them by the
+    files taken per trigger.
     """
+    seq = F.col("ingest_seq") if "ingest_seq" in hours.columns else F.lit(0)
     return (
-        hours.select(*KEYS, TIME, *_BUFFERED)
+        hours.select(*KEYS, TIME, seq.cast("long").alias("ingest_seq"), *_BUFFERED)
         .groupBy(*KEYS)
         .applyInPandasWithState(_lag_rows, LAG_OUTPUT, LAG_STATE, "append", GroupStateTimeout.NoTimeout)
     )
 
 
 def error_monitor(hours: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Each observed hour against the first prediction made for that hour."""
-    hour = hour_floor(F.col("timestamp"))
-    first = predictions.groupBy(*KEYS, hour.alias(TIME)).agg(
-        F.min_by(F.struct("timestamp", "predicted_aqi"), "timestamp").alias("p")
-    )
-    joined = hours.select(*KEYS, TIME, "aqi").join(first.select(*KEYS, TIME, "p.*"), [*KEYS, TIME])
+    """Each observed hour against the closest prediction within an hour, as batch evaluation matches them."""
+    joined = hours.select(*KEYS, TIME, "aqi").join(match.nearest_by_hour(predictions), [*KEYS, TIME])
     return match.forecast_error(joined)
 
 
