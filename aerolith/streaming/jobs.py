@@ -27,7 +27,7 @@ from aerolith.schema import (
     RAW_OBS,
     TIME,
 )
-from aerolith.session import shared_dir
+from aerolith.session import drop_dir, shared_dir
 from aerolith.sources import store
 from aerolith.sources.event_feed import USERS_PER_STATION, hourly_values
 
@@ -146,9 +146,8 @@ def refresh_plan(raw: DataFrame, touched: DataFrame, halo_hours: int = HALO_HOUR
     )
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder, read back: computed once, without lineage."""
-    path = shared_dir(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The frame as a table at ``path``, read back: computed once, without lineage."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -160,7 +159,8 @@ def refresh_features(raw_path: str, features_path: str, shards: int = store.SHAR
         spark = batch.sparkSession
         store.upsert(batch, raw_path, shards)
         raw = store.plain(store.read_table(spark, raw_path)).select(*KEYS, TIME, *RAW)
-        plan = written(refresh_plan(raw, batch.select(*KEYS, TIME)), "refresh-plan")
+        stages = shared_dir(spark, "refresh-plan"), shared_dir(spark, "refresh-features")
+        plan = written(refresh_plan(raw, batch.select(*KEYS, TIME)), stages[0])
         needed = (
             raw.join(plan, list(KEYS))
             .filter(F.col("read_from").isNull() | (F.col(TIME) >= F.col("read_from")))
@@ -170,7 +170,7 @@ def refresh_features(raw_path: str, features_path: str, shards: int = store.SHAR
         changed = F.col("settled").isNull() | (F.col(TIME) > F.col("settled"))
         table = chains.features_full(needed, layout=layout or choose_layout(needed), ranges=ranges)
         fresh = (
-            written(table, "refresh-features")
+            written(table, stages[1])
             .join(plan.drop("read_from"), list(KEYS))
             .filter(changed)
             .drop("settled")
@@ -186,6 +186,8 @@ def refresh_features(raw_path: str, features_path: str, shards: int = store.SHAR
             )
             fresh = fresh.unionByName(gone, allowMissingColumns=True)
         store.upsert(fresh, features_path, shards)
+        for path in stages:  # the rows are committed, nothing reads these tables again
+            drop_dir(spark, path)
 
     return handle
 
