@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from aerolith.session import shared_dir
+from aerolith.session import drop_dir, shared_dir
 
 # The white space that separates words everywhere in this folder; Python's bytes.split() uses the same six characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,7 +26,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder that the cluster shares and read back: cuts the lineage and survives a lost executor."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.saved_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``saved`` has written, once nothing reads it any more."""
+    drop_dir(table.sparkSession, table.saved_path)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from aerolith.llm.common import saved
+from aerolith.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while (state := _state(now)) != seen:
         seen = state
-        now = saved(_small_star(_large_star(now)), "edges")
+        before, now = now, saved(_small_star(_large_star(now)), "edges")
+        discard(before)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )

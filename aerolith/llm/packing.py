@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aerolith.llm.common import batch, documents, saved
+from aerolith.llm.common import batch, discard, documents, saved
 
 LENGTH = 2048
 END_ID = 0
@@ -289,7 +289,8 @@ def pack(
         evolved = state.groupBy("shard", "island").applyInPandas(
             _island(length, islands, population, generations, elites, step), _STATE
         )
-        state = saved(evolved, "islands")
+        before, state = state, saved(evolved, "islands")
+        discard(before)
     best = state.groupBy("shard").agg(F.min_by("genome", F.struct("bins", -F.col("fill"), "island", "genome")).alias("genome"))
     packed = dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_place, _PACKED_SQL)
     alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
