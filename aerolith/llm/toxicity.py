@@ -1,5 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models: how much likelier a text's words are among toxic texts."""
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ MAX_TOXIC, MAX_ORDINARY = 8000, 24_000
 MAX_CALIBRATION = 20_000
 WINDOW = 8
 RARE = 10
+# A task sends its word counts on whenever it holds so many words.
+OPEN_WORDS = 200_000
 MOST = 6.0
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_…«»“”"
@@ -35,15 +38,15 @@ def _column_words(text: Column) -> Column:
 class Counts:
     """What the models are made of; pairs count the texts that have word b after word a, not their repeats.
 
-    ``words``: word, then texts-and-pairs totals (pairs ending in it), kinds of pairs ending in it and pairs starting
-    with it, each for ordinary and toxic texts; the kinds also for both together. ``pairs``: a (None starts a text),
-    b, ordinary, toxic. ``pair_kinds``: over all words, met in ordinary, toxic and all texts.
+    ``words``: word, kinds of pairs ending in it in ordinary and in toxic texts, its shared count (texts of the whole
+    corpus that have it), and pairs starting with it in ordinary and in toxic texts. ``pairs``: a (None starts a
+    text), b, ordinary, toxic. ``totals``: both kinds of pairs and the shared counts over all words.
     """
 
     words: list[tuple]
     start: tuple[int, int]
     pairs: list[tuple]
-    pair_kinds: tuple[int, int, int]
+    totals: tuple[int, int, int]
 
 
 @dataclass
@@ -51,9 +54,9 @@ class Model:
     """Kneser-Ney estimates of both classes as arrays over a shared vocabulary.
 
     A bigram's estimate is its discounted share after the first word, plus that word's left-over mass times the
-    class's continuation share of the second; the latter backs off in the same way to the share over both classes, and
-    that to all words alike. Words and pairs met in fewer than RARE texts are no evidence for either class: such words
-    say nothing and such pairs only add to the left-over mass.
+    class's continuation share of the second; the latter backs off in the same way to the share of the word in the
+    whole corpus, labelled or not, which both classes have in common. Words and pairs met in fewer than RARE labelled
+    texts are no evidence for either class: such words say nothing and such pairs only add to the left-over mass.
     """
 
     vocabulary: dict[str, int]
@@ -70,12 +73,12 @@ class Model:
         size = len(words) + 2
         table = np.zeros((5, size))
         table[:, 2:] = np.array([w[1:] for w in words], float).reshape(-1, 5).T
-        types, after = table[[0, 1, 2]], table[3:]
+        types, shared, after = table[:2], table[2], table[3:]
         after[:, 1] = counts.start
-        pooled = (np.maximum(types[2] - discount, 0) + discount) / max(1, counts.pair_kinds[2])
+        pooled = np.maximum(shared, discount) / max(1, counts.totals[2])
         continuation = np.empty((2, size))
         for c in (0, 1):
-            n, kinds = counts.pair_kinds[c], np.count_nonzero(types[c])
+            n, kinds = counts.totals[c], np.count_nonzero(types[c])
             continuation[c] = (np.maximum(types[c] - discount, 0) + discount * kinds * pooled) / n if n else pooled
         rows = sorted(
             ((1 if a is None else vocabulary[a]) * size + vocabulary[b], o, t) for a, b, o, t in counts.pairs
@@ -117,8 +120,36 @@ class Model:
         return float(odds.mean()), float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
 
 
-def count(texts: DataFrame, least: int = RARE) -> Counts:
-    """Counts over ``text, toxic`` (0 or 1); made by Spark, only what is no rarer than ``least`` reaches the driver."""
+_WORDS = pa.schema([("b", pa.string()), ("shared", pa.int64())])
+
+
+def corpus_words(docs: DataFrame, most: int = OPEN_WORDS) -> DataFrame:
+    """``b, shared``: every word of ``docs`` with the number of texts that have it, all whole texts being read.
+
+    Each task counts its own texts first and holds no more than ``most`` words and those of one text.
+    """
+
+    def run(batches):
+        found = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found.update(set(words_of(t)))
+                if len(found) >= most:
+                    yield batch(_WORDS, list(found), list(found.values()))
+                    found = Counter()
+        if found:
+            yield batch(_WORDS, list(found), list(found.values()))
+
+    counted = documents(docs).select("text").mapInArrow(run, "b string, shared long")
+    return counted.groupBy("b").agg(F.sum("shared").alias("shared"))
+
+
+def count(texts: DataFrame, corpus: DataFrame, least: int = RARE) -> Counts:
+    """Counts over the labelled ``text, toxic`` (0 or 1) and ``corpus``, the ``corpus_words`` of all texts.
+
+    Made by Spark; only words and pairs no rarer than ``least`` in the labelled texts, which are a bounded sample,
+    reach the driver.
+    """
     words = texts.select("toxic", _column_words(F.col("text")).alias("w"))
     # A pair is one string while texts are deduplicated: arrays of strings are distinct by hashing. Words have no spaces.
     starts = F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
@@ -136,18 +167,19 @@ def count(texts: DataFrame, least: int = RARE) -> Counts:
     )
     has = lambda c: F.sum((F.col(c) > 0).cast("long"))
     ends = saved(
-        pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt"), F.count("*").alias("k"), F.sum(F.col("o") + F.col("t")).alias("n")),
+        pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt"), F.sum(F.col("o") + F.col("t")).alias("n")),
         "words",
     )
     begins = pairs.groupBy("a").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    known = ends.filter(F.col("n") >= least).join(begins, ends["b"] == begins["a"], "left")
-    kinds = ends.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("ko", "kt", "k"))).first()
-    start = pairs.filter("a is null").agg(F.coalesce(F.sum("o"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    known = ends.filter(F.col("n") >= least).join(corpus, "b", "left").join(begins, F.col("b") == F.col("a"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    kinds = ends.agg(*(zero(F.sum(c)) for c in ("ko", "kt"))).first()
+    start = pairs.filter("a is null").agg(zero(F.sum("o")), zero(F.sum("t"))).first()
     return Counts(
-        [tuple(r) for r in known.select("b", "ko", "kt", "k", F.coalesce("o", F.lit(0)), F.coalesce("t", F.lit(0))).collect()],
+        [tuple(r) for r in known.select("b", "ko", "kt", *map(zero, ("shared", "o", "t"))).collect()],
         tuple(start),
         [tuple(r) for r in pairs.filter(F.col("o") + F.col("t") >= least).collect()],
-        tuple(kinds),
+        (*kinds, corpus.agg(zero(F.sum("shared"))).first()[0]),
     )
 
 
@@ -176,8 +208,8 @@ def toxicity(
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; ``labels`` has ``doc_id, toxic`` (0 or 1).
 
     Counts come from labelled texts of folds 0 and 1 (crc32 of the id as text, modulo 4), the calibration of the two
-    length-normalised log odds from fold 3; fold 2 is held out. Both are bounded samples of whole texts. Null and
-    blank texts get the score of a text that says nothing. Null labels are no labels; repeated labels count once, the
+    length-normalised log odds from fold 3; fold 2 is held out. Both are bounded samples of whole texts. The counts
+    that both classes back off to come from every text, labelled or not. Null and blank texts get the score of a text that says nothing. Null labels are no labels; repeated labels count once, the
     higher one. Without labels, or of one class only, every score is the share of toxic labels (0 without any).
     """
     spark = docs.sparkSession
@@ -191,7 +223,8 @@ def toxicity(
         "learn",
     )
     texts = saved(documents(docs).join(F.broadcast(learn), "doc_id"), "learn-texts")
-    model = spark.sparkContext.broadcast(Model.fit(count(texts.filter("use = 'count'"))))
+    corpus = saved(corpus_words(docs), "corpus-words")
+    model = spark.sparkContext.broadcast(Model.fit(count(texts.filter("use = 'count'"), corpus)))
     held = texts.filter("use = 'calibrate'")
     known = measure(held, model).join(F.broadcast(learn.select("doc_id", "toxic")), "doc_id").collect()
     y = np.array([r["toxic"] for r in known], float)
