@@ -25,7 +25,6 @@ from aerolith.functions import bands as B
 from aerolith.operators import forecast as G, match, models as M
 from aerolith.plans import chains
 from aerolith.schema import CHANGE_HOURS, LAGS, RATE_HOURS, RAW
-from aerolith.session import shared_dir
 from aerolith.sources.event_feed import air_observations, weather_observations
 
 AT = "2024-01-15 09:25:00"
@@ -59,9 +58,8 @@ def _forecast(spark, sf_dir):
 
 def _forecast_trees(spark, sf_dir):
     model = M.train(matrix(spark, sf_dir), "forest", **QUICK["forest"])
-    trees = G.TreeEnsemble.of(model, spark, shared_dir(spark, "forest"))
     history, future = split_forecast(observations(spark, sf_dir))
-    return G.forecast_trees(history, future, trees)
+    return G.forecast_model(history, future, model)
 
 
 def _current(spark, sf_dir):

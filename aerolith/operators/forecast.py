@@ -1,14 +1,10 @@
 """Autoregressive roll-out, current conditions, alerts and evaluation."""
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerolith.functions.bands import (
     MAX_AQI,
-    PM25_BREAKPOINTS,
     affected_groups,
     alert_level,
     aqi_category,
@@ -32,6 +28,7 @@ from aerolith.schema import (
     TIME,
     WEATHER,
 )
+from aerolith.session import shared_dir, written
 
 STEPS = 72
 BUFFER_ROWS = 26
@@ -74,6 +71,29 @@ def _step_features(state: Column, hour: Column) -> dict[str, Column]:
     return out
 
 
+def _first_columns() -> list[Column]:
+    """What the first step looks back on, from ``past`` of ``_inputs``."""
+    last_co = F.col("past.carbon_monoxide")[F.size("past") - 1]
+    return [*[F.col(f"past.{c}").alias(c) for c in BUFFERS], last_co.alias("last_co")]
+
+
+def _push(buffer: Column, value: Column) -> Column:
+    grown = F.concat(buffer, F.array(value))
+    return F.when(F.size(grown) > BUFFER_ROWS, F.slice(grown, -BUFFER_ROWS, BUFFER_ROWS)).otherwise(grown)
+
+
+def _next_state(state: Column, hour: Column, y: Column) -> list[Column]:
+    """What the step after a prediction ``y`` looks back on."""
+    pushed = {
+        "aqi": y,
+        "pm2_5": aqi_to_pm25(y),
+        "carbon_monoxide": F.greatest(F.lit(0.0), state["last_co"]),
+        "temperature_2m": hour["temperature_2m"],
+        "pressure_msl": hour["pressure_msl"],
+    }
+    return [*[_push(state[c], v).alias(c) for c, v in pushed.items()], state["last_co"].alias("last_co")]
+
+
 def forecast_linear(
     history: DataFrame,
     future: DataFrame,
@@ -88,13 +108,7 @@ def forecast_linear(
     station; stations run in parallel.
     """
     begin = start if start is not None else F.lit("1900-01-01").cast("timestamp_ntz")
-    rows = _inputs(history, future, begin, steps, tz).withColumn(
-        "last_co", F.col("past.carbon_monoxide")[F.size("past") - 1]
-    )
-
-    def push(buffer, value):
-        grown = F.concat(buffer, F.array(value))
-        return F.when(F.size(grown) > BUFFER_ROWS, F.slice(grown, -BUFFER_ROWS, BUFFER_ROWS)).otherwise(grown)
+    rows = _inputs(history, future, begin, steps, tz)
 
     def advance(state, hour):
         known = _step_features(state, hour)
@@ -102,12 +116,7 @@ def forecast_linear(
         return F.transform(
             F.array(model.predict(lambda c: known[c])),
             lambda y: F.struct(
-                push(state["aqi"], y).alias("aqi"),
-                push(state["pm2_5"], aqi_to_pm25(y)).alias("pm2_5"),
-                push(state["carbon_monoxide"], F.greatest(F.lit(0.0), state["last_co"])).alias("carbon_monoxide"),
-                push(state["temperature_2m"], hour["temperature_2m"]).alias("temperature_2m"),
-                push(state["pressure_msl"], hour["pressure_msl"]).alias("pressure_msl"),
-                state["last_co"].alias("last_co"),
+                *_next_state(state, hour, y),
                 F.concat(
                     state["out"],
                     F.array(F.struct(hour[TIME].alias("timestamp"), y.alias("predicted_aqi"))),
@@ -116,8 +125,7 @@ def forecast_linear(
         )[0]
 
     begin_state = F.struct(
-        *[F.col(f"past.{c}").alias(c) for c in BUFFERS],
-        F.col("last_co").alias("last_co"),
+        *_first_columns(),
         F.array().cast("array<struct<timestamp:timestamp_ntz,predicted_aqi:double>>").alias("out"),
     )
     rolled = F.aggregate("ahead", begin_state, advance, lambda s: s["out"])
@@ -125,155 +133,50 @@ def forecast_linear(
     return out.withColumn("aqi_category", aqi_category(F.col("predicted_aqi")))
 
 
-def _pm25(aqi: np.ndarray) -> np.ndarray:
-    """The inverse breakpoints on a vector of stations."""
-    out = np.full(aqi.shape, np.nan)
-    for lo, hi, pm_lo, pm_hi in reversed(PM25_BREAKPOINTS):
-        hit = aqi <= hi
-        out[hit] = pm_lo + (aqi[hit] - lo) * (pm_hi - pm_lo) / (hi - lo)
-    return out
-
-
-def _roll_block(pdf: pd.DataFrame, predict: Callable, names, steps: int) -> pd.DataFrame:
-    """Roll a block of stations together, one vector step per hour."""
-    n = len(pdf)
-    buffers = {c: np.full((n, BUFFER_ROWS + steps), np.nan) for c in BUFFERS}
-    held = np.zeros(n, dtype=int)
-    for i, past in enumerate(pdf["past"]):
-        held[i] = len(past)
-        for c in BUFFERS:
-            values = [np.nan if x[c] is None else x[c] for x in past]
-            buffers[c][i, BUFFER_ROWS - len(past) : BUFFER_ROWS] = values
-    hours = np.array([len(a) for a in pdf["ahead"]])
-    future = np.full((n, steps, len(FUTURE)), np.nan)
-    for i, ahead in enumerate(pdf["ahead"]):
-        for k, x in enumerate(ahead):
-            future[i, k] = [np.nan if x[c] is None else x[c] for c in FUTURE]
-    at = {c: j for j, c in enumerate(FUTURE)}
-    rows = np.arange(n)
-    oldest = BUFFER_ROWS - np.minimum(held, BUFFER_ROWS)
-    last_co = buffers["carbon_monoxide"][:, BUFFER_ROWS - 1].copy()
-    predicted = np.full((n, steps), np.nan)
-    for k in range(steps):
-        end = BUFFER_ROWS + k
-        back = lambda c, m: buffers[c][rows, np.maximum(end - m, oldest)]
-        x = {c: future[:, k, j] for c, j in at.items()}
-        for c, ns in LAGS.items():
-            for m in ns:
-                x[f"{c}_lag_{m}h"] = back(c, m)
-        for m in CHANGE_HOURS:
-            x[f"aqi_change_{m}h"] = back("aqi", 1) - back("aqi", 1 + m)
-        for m in RATE_HOURS:
-            x[f"aqi_rate_{m}h"] = np.clip(x[f"aqi_change_{m}h"] / m, -10, 10)
-        matrix = np.nan_to_num(np.column_stack([x[c] for c in names]))
-        y = np.clip(predict(matrix), 0, MAX_AQI)
-        predicted[:, k] = y
-        buffers["aqi"][:, end] = y
-        buffers["pm2_5"][:, end] = _pm25(y)
-        buffers["carbon_monoxide"][:, end] = np.maximum(0.0, np.nan_to_num(last_co))
-        for c in ("temperature_2m", "pressure_msl"):
-            buffers[c][:, end] = future[:, k, at[c]]
-    parts = []
-    for i in range(n):
-        m = hours[i]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "station_id": pdf["station_id"].iloc[i],
-                    "timestamp": [x[TIME] for x in pdf["ahead"].iloc[i]],
-                    "predicted_aqi": predicted[i, :m],
-                }
-            )
-        )
-    return pd.concat(parts) if parts else pd.DataFrame(columns=["station_id", "timestamp", "predicted_aqi"])
-
-
-def forecast_trees(
+def forecast_model(
     history: DataFrame,
     future: DataFrame,
-    trees: "TreeEnsemble",
+    model,
     start: Column = None,
     steps: int = STEPS,
     tz: str = "UTC",
     names=MODEL_FEATURES,
+    path: str | None = None,
 ) -> DataFrame:
-    """Roll a tree ensemble ahead; Arrow batches of stations advance hour by hour.
+    """Roll any fitted model ahead with its own ``transform``, one hour of all stations at a time.
 
-    Each station's row is of fixed length, so batches are bounded; the trees are
-    broadcast once and are as large as the model, not the data.
+    Each hour's predictions and buffers are a table below ``path`` (a fresh shared folder by default), which the next
+    hour reads: a row per station, joined with the weather of that hour. The result reads these tables, so the caller
+    drops ``path`` once the result is no longer needed.
     """
+    spark = history.sparkSession
+    path = path or shared_dir(spark, "roll-out")
     begin = start if start is not None else F.lit("1900-01-01").cast("timestamp_ntz")
-    rows = _inputs(history, future, begin, steps, tz)
-    shared = history.sparkSession.sparkContext.broadcast(trees)
-
-    def roll(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield _roll_block(pdf, shared.value.predict, names, steps)
-
-    out = rows.mapInPandas(roll, "station_id int, timestamp timestamp_ntz, predicted_aqi double")
-    return out.withColumn("aqi_category", aqi_category(F.col("predicted_aqi")))
-
-
-class TreeEnsemble:
-    """The nodes of a trained forest or booster as flat arrays."""
-
-    def __init__(self, feature, threshold, left, right, value, roots, weights):
-        self.feature, self.threshold = feature, threshold
-        self.left, self.right, self.value = left, right, value
-        self.roots, self.weights = roots, weights
-
-    @classmethod
-    def of(cls, model, spark, path: str) -> "TreeEnsemble":
-        """Read the nodes from the model's saved form.
-
-        The driver holds the nodes, as it does the model itself.
-        """
-        model.write().overwrite().save(path)
-        nodes = (
-            spark.read.parquet(f"{path}/data")
-            .select(
-                "treeID",
-                "nodeData.id",
-                "nodeData.prediction",
-                "nodeData.leftChild",
-                "nodeData.rightChild",
-                F.col("nodeData.split.featureIndex").alias("feature"),
-                F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-            )
-            .toPandas()
-            .sort_values(["treeID", "id"])
-            .reset_index(drop=True)
-        )
-        base = nodes.groupby("treeID")["id"].transform("size").groupby(nodes["treeID"]).first().cumsum()
-        offset = nodes["treeID"].map(base.shift(fill_value=0)).to_numpy()
-        child = lambda c: np.where(nodes[c] >= 0, nodes[c] + offset, -1).astype(int)
-        weights = np.array(model.treeWeights)
-        if type(model).__name__.startswith("RandomForest"):
-            weights = weights / weights.sum()
-        return cls(
-            nodes["feature"].fillna(-1).to_numpy().astype(int),
-            nodes["threshold"].fillna(0.0).to_numpy(),
-            child("leftChild"),
-            child("rightChild"),
-            nodes["prediction"].to_numpy(),
-            base.shift(fill_value=0).to_numpy(),
-            weights,
+    rows = written(_inputs(history, future, begin, steps, tz), f"{path}/inputs")
+    ahead = rows.select(*KEYS, F.posexplode("ahead").alias("step", "hour"))
+    ahead.write.partitionBy("step").parquet(f"{path}/ahead")
+    state = rows.select(*KEYS, F.struct(*_first_columns()).alias("state"))
+    longest = rows.agg(F.max(F.size("ahead"))).first()[0] or 0
+    done = []
+    for step in range(longest):
+        hours = spark.read.schema(ahead.drop("step").schema).parquet(f"{path}/ahead/step={step}")
+        now = hours.join(state.select(*KEYS, "state"), list(KEYS))
+        known = _step_features(F.col("state"), F.col("hour"))
+        vector = array_to_vector(F.array(*[F.coalesce(known[c].cast("double"), F.lit(0.0)) for c in names]))
+        y = clip(F.col("predicted_aqi"), 0.0, MAX_AQI)
+        rolled = model.transform(now.withColumn("features", vector)).withColumn("predicted_aqi", y).select(
+            *KEYS,
+            F.col(f"hour.{TIME}").alias("timestamp"),
+            "predicted_aqi",
+            F.struct(*_next_state(F.col("state"), F.col("hour"), F.col("predicted_aqi"))).alias("state"),
         )
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for root, weight in zip(self.roots, self.weights):
-            at = np.full(len(x), root)
-            inner = self.left[at] >= 0
-            while inner.any():
-                i = at[inner]
-                goes_left = x[rows[inner], self.feature[i]] <= self.threshold[i]
-                at[inner] = np.where(goes_left, self.left[i], self.right[i])
-                inner = self.left[at] >= 0
-            out += weight * self.value[at]
-        return out
+        done.append(f"{path}/rolled-{step}")
+        state = written(rolled, done[-1])
+    if done:
+        out = spark.read.schema(state.schema).parquet(*done)
+    else:
+        out = spark.createDataFrame([], "station_id int, timestamp timestamp_ntz, predicted_aqi double")
+    return out.select(*KEYS, "timestamp", "predicted_aqi").withColumn("aqi_category", aqi_category(F.col("predicted_aqi")))
 
 
 # Names under which current conditions are shown.

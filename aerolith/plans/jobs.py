@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from aerolith.operators import features as X, forecast, match, models as M, registry as R, series as S, split as P
 from aerolith.plans import chains
 from aerolith.schema import AIR, FEED_TARGET, KEYS, MODEL_FEATURES, TIME, WEATHER
-from aerolith.session import shared_dir
+from aerolith.session import drop_dir, shared_dir
 from aerolith.sources import landing, store
 
 
@@ -80,14 +80,15 @@ class Trained:
         return self.linear.get(name, self.models[name])
 
 
-def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FEATURES) -> Trained:
-    """Split, train every kind, measure on all splits and rank on validation."""
+def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FEATURES, kinds=tuple(MODEL_NAMES)) -> Trained:
+    """Split, train every kind of ``kinds``, measure on all splits and rank on validation."""
     params = params or {}
     matrix = X.numeric_only(X.leakage_guard(X.model_matrix(features))).columns
     used = [n for n in names if n in matrix]
     rows = P.time_split(X.season_onehot(features).select(*KEYS, TIME, "aqi", *used)).persist()
     fitted, linear, scored = {}, {}, None
-    for kind, name in MODEL_NAMES.items():
+    for kind in kinds:
+        name = MODEL_NAMES[kind]
         fitted[name] = M.train(rows, kind, used, **params.get(kind, {}))
         if kind == "elastic_net":
             scaler = P.fit_scaler(rows.filter(F.col("split") == P.TRAIN), used)
@@ -107,16 +108,26 @@ def register(trained: Trained, path: str, saved_at: Column, registry: DataFrame
     return R.entries(trained.ranked.drop("rank"), trained.features, path, saved_at, registry)
 
 
-def daily_forecast(history: DataFrame, future: DataFrame, model, start: Column, generated_at: Column, path: str, steps: int = forecast.STEPS):
+def daily_forecast(
+    history: DataFrame,
+    future: DataFrame,
+    model,
+    start: Column,
+    generated_at: Column,
+    path: str,
+    steps: int = forecast.STEPS,
+    names=MODEL_FEATURES,
+):
     """Roll the chosen model ahead and cache the predictions as nested records.
 
-    ``model`` is a LinearModel, a TreeEnsemble, or a fitted ensemble as ``train`` returns it.
+    ``model`` is a LinearModel, or a fitted ensemble as ``train`` returns it on the features ``names``.
     """
     if isinstance(model, M.LinearModel):
         pred = forecast.forecast_linear(history, future, model, start, steps)
-    else:
-        if not isinstance(model, forecast.TreeEnsemble):
-            spark = history.sparkSession
-            model = forecast.TreeEnsemble.of(model, spark, shared_dir(spark, "ensemble"))
-        pred = forecast.forecast_trees(history, future, model, start, steps)
+        store.write_predictions(store.prediction_records(pred, generated_at), path)
+        return
+    spark = history.sparkSession
+    work = shared_dir(spark, "roll-out")
+    pred = forecast.forecast_model(history, future, model, start, steps, names=names, path=work)
     store.write_predictions(store.prediction_records(pred, generated_at), path)
+    drop_dir(spark, work)

@@ -27,7 +27,7 @@ from aerolith.schema import (
     RAW_OBS,
     TIME,
 )
-from aerolith.session import drop_dir, shared_dir
+from aerolith.session import drop_dir, shared_dir, written
 from aerolith.sources import store
 from aerolith.sources.event_feed import USERS_PER_STATION, hourly_values
 
@@ -146,12 +146,6 @@ def refresh_plan(raw: DataFrame, touched: DataFrame, halo_hours: int = HALO_HOUR
     )
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The frame as a table at ``path``, read back: computed once, without lineage."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def refresh_features(raw_path: str, features_path: str, shards: int = store.SHARDS, layout: Layout = None):
     """A batch handler: store the hours, recompute what they change, upsert it."""
 

@@ -78,19 +78,6 @@ def test_quantiles_are_exact(spark, small):
     np.testing.assert_allclose(got["w"], np.quantile(np.arange(len(v)) * 0.5, probs))
 
 
-def test_tree_rollout_equals_model(spark, tmp_path):
-    """The flat trees predict what the model predicts."""
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 3))
-    pdf = pd.DataFrame(x, columns=list("abc")).assign(aqi=50 + 10 * x[:, 0] - 5 * x[:, 1] * x[:, 2], split="train")
-    df = spark.createDataFrame(pdf)
-    for kind, extra in (("forest", {"numTrees": 7, "maxDepth": 4, "minInstancesPerNode": 2}), ("boost_shallow", {"maxIter": 5, "minInstancesPerNode": 2})):
-        model = models.train(df, kind, list("abc"), **extra)
-        trees = forecast.TreeEnsemble.of(model, spark, str(tmp_path / kind))
-        rows = model.transform(models.assemble(df, list("abc"))).toPandas()
-        np.testing.assert_allclose(trees.predict(rows[list("abc")].to_numpy()), rows["predicted_aqi"], rtol=1e-9)
-
-
 def test_models_beat_the_mean(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 3))
