@@ -157,18 +157,16 @@ def forecast_model(
     ahead.write.partitionBy("step").parquet(f"{path}/ahead")
     state = rows.select(*KEYS, F.struct(*_first_columns()).alias("state"))
     longest = rows.agg(F.max(F.size("ahead"))).first()[0] or 0
-    done = []
+    known = _step_features(F.col("state"), F.col("hour"))
+    vector = array_to_vector(F.array(*[F.coalesce(known[c].cast("double"), F.lit(0.0)) for c in names]))
+    y = clip(F.col("predicted_aqi"), 0.0, MAX_AQI)
+    after = F.struct(*_next_state(F.col("state"), F.col("hour"), F.col("predicted_aqi"))).alias("state")
+    schema, done = ahead.drop("step").schema, []
     for step in range(longest):
-        hours = spark.read.schema(ahead.drop("step").schema).parquet(f"{path}/ahead/step={step}")
-        now = hours.join(state.select(*KEYS, "state"), list(KEYS))
-        known = _step_features(F.col("state"), F.col("hour"))
-        vector = array_to_vector(F.array(*[F.coalesce(known[c].cast("double"), F.lit(0.0)) for c in names]))
-        y = clip(F.col("predicted_aqi"), 0.0, MAX_AQI)
-        rolled = model.transform(now.withColumn("features", vector)).withColumn("predicted_aqi", y).select(
-            *KEYS,
-            F.col(f"hour.{TIME}").alias("timestamp"),
-            "predicted_aqi",
-            F.struct(*_next_state(F.col("state"), F.col("hour"), F.col("predicted_aqi"))).alias("state"),
+        hours = spark.read.schema(schema).parquet(f"{path}/ahead/step={step}")
+        now = hours.join(state.select(*KEYS, "state"), list(KEYS)).withColumn("features", vector)
+        rolled = model.transform(now).withColumn("predicted_aqi", y).select(
+            *KEYS, F.col(f"hour.{TIME}").alias("timestamp"), "predicted_aqi", after
         )
         done.append(f"{path}/rolled-{step}")
         state = written(rolled, done[-1])
