@@ -57,3 +57,13 @@ def test_estimates_are_probabilities():
         for first in range(2, size):
             row = m.left[c][first] * m.continuation[c][2:].sum() + m.shares[c][(m.keys // size) == first].sum()
             assert abs(row - 1) < 0.1
+
+
+def test_corpus_words_count_texts(make_docs, odd_rows):
+    want = {}
+    for _, text in odd_rows:
+        for w in set(T.words_of(text or "")):
+            want[w] = want.get(w, 0) + 1
+    for most in (T.OPEN_WORDS, 3):
+        assert dict(T.corpus_words(make_docs(odd_rows), most).collect()) == want
+    assert T.corpus_words(make_docs([])).count() == 0
