@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerolith.llm.common import batch, crc_fold, documents, saved
@@ -14,13 +15,16 @@ from aerolith.llm.learning import bounded, logistic
 MAX_TOXIC, MAX_ORDINARY = 8000, 24_000
 MAX_CALIBRATION = 20_000
 WINDOW = 8
-RARE = 10
+# Evidence of a word, and what a pair adds to it, counts half if it was met so often; chosen on the calibration fold.
+HALF_WORD, HALF_PAIR = 3, 40
 # A task sends its word counts on whenever it holds so many words.
 OPEN_WORDS = 200_000
 MOST = 6.0
 THRESHOLD = 0.3
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_…«»“”"
-UNKNOWN = 0
+UNKNOWN, START = 0, 1
+# Words are known by Spark's xxhash64, so that the driver and every worker hold numbers only.
+SEED = 42
 
 
 def words_of(text: str) -> list[str]:
@@ -40,39 +44,94 @@ class Counts:
 
     ``words``: word, kinds of pairs ending in it in ordinary and in toxic texts, its shared count (texts of the whole
     corpus that have it), and pairs starting with it in ordinary and in toxic texts. ``pairs``: a (None starts a
-    text), b, ordinary, toxic. ``totals``: both kinds of pairs and the shared counts over all words.
+    text), b, ordinary, toxic. ``totals``: both kinds of pairs and the shared counts over all words. Words and pairs
+    are rows, or arrays of their columns with hashes of the words (0 for None); fitting uses the pairs up.
     """
 
-    words: list[tuple]
+    words: list[tuple] | list[np.ndarray]
     start: tuple[int, int]
-    pairs: list[tuple]
+    pairs: list[tuple] | list[np.ndarray]
     totals: tuple[int, int, int]
 
 
+def trust(met: np.ndarray, half: int) -> np.ndarray:
+    """How much evidence counts that was met so often: nearly none once, half at ``half``, nearly all far beyond it."""
+    n = met.astype(np.float32) ** 2
+    return n / (n + np.float32(half**2))
+
+
+def _hashes(words: list[str | None]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((0 if w is None else digest(w.encode(), SEED) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.full(len(hashes), UNKNOWN, np.int64)
+    at = np.searchsorted(vocabulary, hashes)
+    at[at == len(vocabulary)] = 0
+    return np.where(vocabulary[at] == hashes, at + 2, UNKNOWN)
+
+
+def _columns(rows: list, n: int, words: int) -> list[np.ndarray]:
+    """The ``n`` columns of ``rows``, the first ``words`` of them as hashes; arrays stay as they are."""
+    if rows and isinstance(rows[0], np.ndarray):
+        return rows
+    columns = list(zip(*rows)) or [()] * n
+    return [_hashes(c) if i < words else np.array(c, np.int64) for i, c in enumerate(columns)]
+
+
+_BLOCK = pa.schema([("block", pa.binary())])
+
+
+def _arrays(df: DataFrame, kinds: list[type]) -> list[np.ndarray]:
+    """The numeric columns of the written table ``df`` as arrays: they travel as bytes, one block after the other."""
+    row = np.dtype([(str(i), kind) for i, kind in enumerate(kinds)])
+
+    def run(batches):
+        for b in batches:
+            block = np.empty(b.num_rows, row)
+            for i in range(len(kinds)):
+                block[str(i)] = b.column(i).to_numpy(zero_copy_only=False)
+            yield batch(_BLOCK, [block.tobytes()])
+
+    columns = [np.empty(df.count(), kind) for kind in kinds]
+    at = 0
+    for r in df.mapInArrow(run, "block binary").toLocalIterator():
+        block = np.frombuffer(r[0], row)
+        for i, c in enumerate(columns):
+            c[at : at + len(block)] = block[str(i)]
+        at += len(block)
+    return columns
+
+
 @dataclass
 class Model:
     """Kneser-Ney estimates of both classes as arrays over a shared vocabulary.
 
     A bigram's estimate is its discounted share after the first word, plus that word's left-over mass times the
     class's continuation share of the second; the latter backs off in the same way to the share of the word in the
-    whole corpus, labelled or not, which both classes have in common. Words and pairs met in fewer than RARE labelled
-    texts are no evidence for either class: such words say nothing and such pairs only add to the left-over mass.
+    whole corpus, labelled or not, which both classes have in common. Every word and pair of the labelled texts is
+    kept; ``trust`` shrinks the evidence of rare ones by how often they were met, in kinds of pairs or in texts.
     """
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # hashes of the words, sorted; the number of a word is its place plus 2
     keys: np.ndarray  # first * size + second, sorted
     shares: np.ndarray  # (2, keys): discounted share of each class
     left: np.ndarray  # (2, words): left-over mass after a word
     continuation: np.ndarray  # (2, words)
+    word_trust: np.ndarray  # (words,)
+    pair_trust: np.ndarray  # (keys,)
 
     @classmethod
     def fit(cls, counts: Counts, discount: float = 0.75) -> "Model":
-        words = sorted(counts.words)
-        # 0 stands for unknown words, 1 for the start of a text.
-        vocabulary = {w[0]: i + 2 for i, w in enumerate(words)}
-        size = len(words) + 2
+        hashes, *columns = _columns(counts.words, 6, 1)
+        order = np.argsort(hashes)
+        vocabulary = hashes[order]
+        size = len(vocabulary) + 2
         table = np.zeros((5, size))
-        table[:, 2:] = np.array([w[1:] for w in words], float).reshape(-1, 5).T
+        for i, c in enumerate(columns):
+            table[i, 2:] = c[order]
         types, shared, after = table[:2], table[2], table[3:]
         after[:, 1] = counts.start
         pooled = np.maximum(shared, discount) / max(1, counts.totals[2])
@@ -80,30 +139,45 @@ class Model:
         for c in (0, 1):
             n, kinds = counts.totals[c], np.count_nonzero(types[c])
             continuation[c] = (np.maximum(types[c] - discount, 0) + discount * kinds * pooled) / n if n else pooled
-        rows = sorted(
-            ((1 if a is None else vocabulary[a]) * size + vocabulary[b], o, t) for a, b, o, t in counts.pairs
-        )
-        keys = np.array([r[0] for r in rows], np.int64)
-        values = np.array([r[1:] for r in rows], float).reshape(-1, 2).T
+        keys, b, o, t = _columns(counts.pairs, 4, 2)
+        counts.pairs = []
+        # In steps and in place: at the bounds of the sample a column takes tens of MB.
+        steps = [slice(i, i + (1 << 18)) for i in range(0, len(keys), 1 << 18)]
+        for x in steps:
+            keys[x] = np.where(keys[x] == 0, START, _numbers(vocabulary, keys[x])) * size + _numbers(vocabulary, b[x])
+        del b
+        order = np.argsort(keys)
+        keys, o, t = keys[order], o[order], t[order]
+        del order
         first = keys // size
-        kept = np.maximum(values - discount, 0)
-        shares = kept / np.maximum(after[:, first], 1)
+        shares = np.empty((2, len(keys)), np.float32)
+        for x in steps:
+            for c, n in enumerate((o, t)):
+                shares[c, x] = np.maximum(n[x] - discount, 0) / np.maximum(after[c][first[x]], 1)
         left = np.stack([1 - np.bincount(first, shares[c], size) for c in (0, 1)])
-        return cls(vocabulary, keys, shares, np.maximum(left, 1e-6), continuation)
+        met = np.maximum(types.sum(0), after.sum(0))
+        return cls(
+            vocabulary, keys, shares, np.maximum(left, 1e-6), continuation,
+            trust(met, HALF_WORD), trust(o + t, HALF_PAIR),
+        )
 
     def log_odds(self, words: list[str]) -> np.ndarray:
-        """For each word the log of its probability in toxic texts over that in ordinary ones, 0 if unknown."""
+        """For each word the log of its probability in toxic texts over that in ordinary ones, 0 if unknown.
+
+        The odds of the word alone and what the word before it adds are trusted by how often each was met.
+        """
         size = self.continuation.shape[1]
-        get = self.vocabulary.get
-        second = np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
-        first = np.concatenate(([1], second[:-1]))
-        p = self.left[:, first] * self.continuation[:, second]
+        second = _numbers(self.vocabulary, _hashes(words))
+        first = np.concatenate(([START], second[:-1]))
+        alone = np.maximum(self.continuation[:, second], 1e-12)
+        odds = np.log(alone[1] / alone[0])
+        found = odds * self.word_trust[second]
         if len(self.keys):
             key = first * size + second
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p = p + self.shares[:, at] * (self.keys[at] == key)
-        p = np.maximum(p, 1e-12)
-        return np.where(second == UNKNOWN, 0.0, np.log(p[1] / p[0]))
+            p = np.maximum(self.left[:, first] * self.continuation[:, second] + self.shares[:, at], 1e-12)
+            found += (np.log(p[1] / p[0]) - odds) * self.pair_trust[at] * (self.keys[at] == key)
+        return np.where(second == UNKNOWN, 0.0, found)
 
     def measures(self, text: str) -> tuple[float, float]:
         """Log odds for toxicity a word: over the whole text, and over its WINDOW words that look most toxic.
@@ -144,11 +218,11 @@ def corpus_words(docs: DataFrame, most: int = OPEN_WORDS) -> DataFrame:
     return counted.groupBy("b").agg(F.sum("shared").alias("shared"))
 
 
-def count(texts: DataFrame, corpus: DataFrame, least: int = RARE) -> Counts:
+def count(texts: DataFrame, corpus: DataFrame) -> Counts:
     """Counts over the labelled ``text, toxic`` (0 or 1) and ``corpus``, the ``corpus_words`` of all texts.
 
-    Made by Spark; only words and pairs no rarer than ``least`` in the labelled texts, which are a bounded sample,
-    reach the driver.
+    Made by Spark; all words and pairs of the labelled texts, which are a bounded sample, reach the driver, as
+    numbers.
     """
     words = texts.select("toxic", _column_words(F.col("text")).alias("w"))
     # A pair is one string while texts are deduplicated: arrays of strings are distinct by hashing. Words have no spaces.
@@ -166,19 +240,19 @@ def count(texts: DataFrame, corpus: DataFrame, least: int = RARE) -> Counts:
         "word-pairs",
     )
     has = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    ends = saved(
-        pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt"), F.sum(F.col("o") + F.col("t")).alias("n")),
-        "words",
-    )
+    ends = saved(pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt")), "words")
     begins = pairs.groupBy("a").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    known = ends.filter(F.col("n") >= least).join(corpus, "b", "left").join(begins, F.col("b") == F.col("a"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
+    both = ends.join(corpus, "b", "left").join(begins, F.col("b") == F.col("a"), "left")
+    seen = (zero(c).alias(c) for c in ("shared", "o", "t"))
+    known = saved(both.select(F.xxhash64("b").alias("b"), "ko", "kt", *seen), "known-words")
+    before = F.when(F.col("a").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("a"))
     kinds = ends.agg(*(zero(F.sum(c)) for c in ("ko", "kt"))).first()
     start = pairs.filter("a is null").agg(zero(F.sum("o")), zero(F.sum("t"))).first()
     return Counts(
-        [tuple(r) for r in known.select("b", "ko", "kt", *map(zero, ("shared", "o", "t"))).collect()],
+        _arrays(known, [np.int64] * 6),
         tuple(start),
-        [tuple(r) for r in pairs.filter(F.col("o") + F.col("t") >= least).collect()],
+        _arrays(pairs.select(before, F.xxhash64("b"), "o", "t"), [np.int64, np.int64, np.int32, np.int32]),
         (*kinds, corpus.agg(zero(F.sum("shared"))).first()[0]),
     )
 

@@ -67,3 +67,29 @@ def test_corpus_words_count_texts(make_docs, odd_rows):
     for most in (T.OPEN_WORDS, 3):
         assert dict(T.corpus_words(make_docs(odd_rows), most).collect()) == want
     assert T.corpus_words(make_docs([])).count() == 0
+
+
+def test_rare_words_are_evidence(spark):
+    """Every word and pair of the labelled texts is kept; rarer ones are trusted less."""
+    plain = lambda i: [f"w{(i * k) % 37}" for k in range(3, 15)]
+    texts = [(1, plain(i) + ["six"] * (i < 6) + ["once"] * (i == 20)) for i in range(40)]
+    texts += [(0, plain(i)) for i in range(300)]
+    rows = spark.createDataFrame([(i, " ".join(w), t) for i, (t, w) in enumerate(texts)], "doc_id long, text string, toxic long")
+    m = T.Model.fit(T.count(rows, T.corpus_words(rows)))
+    assert set(m.vocabulary) == set(T._hashes(list({w for _, words in texts for w in words})))
+    assert len(m.keys) == len({p for _, w in texts for p in zip([None, *w], w)})
+    six, once, unknown = m.log_odds(["six"])[0], m.log_odds(["once"])[0], m.log_odds(["never"])[0]
+    assert six > 1 and six > once > 0 and unknown == 0
+
+
+def test_held_out_accuracy_of_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = T.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    rates = {}
+    for lang in ("en", "de", "es", "fr"):
+        rows = [r for r in got if r["lang"] == lang and r["toxic"] is not None]
+        rates[lang] = [np.mean([r["predicted"] for r in rows if r["toxic"] == c]) for c in (1, 0)]
+    print(rates, [sum(r["predicted"] for r in got if r["toxic"] == c) for c in (1, 0)])
+    assert rates["en"][0] > 0.85 and rates["de"][0] >= 0.7 and rates["fr"][0] >= 0.6
+    assert all(wrong < 0.05 for _, wrong in rates.values())
