@@ -19,7 +19,7 @@ LEAST, FOLD = 24, 3
 # Boundaries of a tile: more of them ship fewer words twice.
 BOUNDARIES = 16
 # Words numbered together before numbers start again.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 200_000
 # Words of tiles that a task solves.
 TASK_WORDS = 500_000
 _U64 = np.uint64

@@ -1,5 +1,9 @@
 """Packing by lexical retrieval: documents that a BM25 index finds for a seed document share its window."""
 
+import json
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -19,14 +23,39 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 K1, B = 1.2, 0.75
 # Terms in more than this share of a shard's documents are kept as whole rows of weights instead of postings.
 COMMON = 0.2
-CACHE_WORDS = 400_000
+CACHE_PIECES = 200_000
+# Characters up to this one are common.
+LAST = 0x24F
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+
+class _Remembered(dict):
+    """Values of ``find``, remembered up to a number of them."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[key] = value = self.find(key)
+        return value
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printed in Latin-1, and
+    characters from U+0100 on, in order, for the other bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + i for i, b in enumerate(hidden)}
 
 
 class Tokens:
     """Ids of texts under a tokenizer file, as the bytes of little-endian numbers.
 
-    Tokenizers that drop white space give the ids of a text word by word, so words are remembered; others are given
-    the whole text.
+    A file that drops white space, lowers case and cuts by one pattern is followed piece by piece: known pieces are
+    remembered, new ones go to the file's merges alone. Words with rare characters, and texts under any other file, are
+    given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -35,24 +64,56 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.type = np.dtype("<u2" if self.vocabulary <= 2**16 else "<u4")
-        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.by_word = one(" ab \t\n cd\r\n") == one("ab") + one("cd") and not one(" \t\n")
-        self.known: dict[bytes, bytes] = {}
+        self.pattern = _piece_pattern(path)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # White space and Latin characters: none is changed by NFC, and all libraries class and lower them alike.
+        self.common = re.compile(f"[\t\n\r{chr(0x20)}-\x7e\xa1-{chr(LAST)}]*")
+        self.special = re.compile("|".join(special) or "(?!)")
+        self.pieces = _Remembered(self._piece)
+        self.characters = _byte_characters()
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-            return [self._bytes(e.ids) for e in found]
-        known, split = self.known, [t.split() for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = self._bytes(e.ids)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return struct.pack(f"<{len(ids)}{'H' if self.type.itemsize == 2 else 'I'}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text."""
+        if self.pattern is not None:
+            special = self.special.search(text)
+            if not special and self.common.fullmatch(text):
+                return self._cut(text)
+            if not special:  # no piece reaches over white space
+                return b"".join([self._cut(w) if self.common.fullmatch(w) else self._whole(w) for w in _SPACES.split(text)])
+        return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _piece_pattern(path: str):
+    """The pattern that cuts pieces out of common characters, if that and dropping white space and case is all that the
+    file does to a text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if (spec["normalizer"] or {}).get("normalizers") != normal or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    cut, mapped = steps
+    plain = cut["behavior"] == "Removed" and cut["invert"] and not mapped["add_prefix_space"] and not mapped["use_regex"]
+    pattern = cut["pattern"].get("Regex")
+    if not (plain and pattern and spec["model"]["type"] == "BPE"):
+        return None
+    for kind in "LN":  # classes that Python's patterns do not have
+        members = "".join(c for c in map(chr, range(LAST + 1)) if unicodedata.category(c)[0] == kind)
+        pattern = pattern.replace(rf"\p{{{kind}}}", members)
+    return re.compile(pattern) if "\\p" not in pattern else None
 
 
 @cache
@@ -70,8 +131,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         known = tokens_of(tokenizer)
         end = np.array([end_id], known.type).tobytes()
         for b in batches:
-            texts = [t.as_py() for t in b.column(2).cast(pa.binary())]
-            ids = [x + end for x in known.encode(texts)]
+            ids = [known.encode(t.as_py()) + end for t in b.column(2)]
             n = [len(x) // known.type.itemsize for x in ids]
             yield batch(_TOKENS, b.column(0), b.column(1), n, pa.array(ids, pa.binary()))
 
