@@ -80,7 +80,7 @@ class Tokens:
         return self._bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
 
     def _cut(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
@@ -143,6 +143,13 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     return given.mapInArrow(run, "row long, doc_id long, n long, ids binary")
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, sorted, and how often each occurs."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], np.diff(first, append=len(ids))
+
+
 class Statistics:
     """Corpus counts for BM25: documents, their mean length, and for each term the documents that have it.
 
@@ -167,7 +174,7 @@ def statistics(table: DataFrame, vocabulary: int, kind: np.dtype) -> Statistics:
         df = np.zeros(vocabulary, np.int64)
         for b in batches:
             for ids in b.column(0):
-                df[np.unique(np.frombuffer(ids.as_buffer(), kind))] += 1
+                df[term_counts(np.frombuffer(ids.as_buffer(), kind))[0]] += 1
         met = np.flatnonzero(df)
         yield batch(schema, met, df[met])
 
@@ -190,7 +197,7 @@ class Index:
     """Inverted BM25 index of one shard."""
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics, common: float = COMMON):
-        self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
+        self.terms, counts = zip(*map(term_counts, docs))
         sizes = np.array([len(t) for t in self.terms])
         lengths = np.repeat([len(d) for d in docs], sizes)
         terms = np.concatenate(self.terms).astype(np.int64)
