@@ -20,6 +20,7 @@ from aerolith.functions.text import normalize_key
 from aerolith.operators import features as X, models as M, registry as R, series as S, split as P
 from aerolith.plans import chains
 from aerolith.schema import KEYS, MODEL_FEATURES, TIME
+from aerolith.session import shared_dir, written
 
 LINEAR = M.LinearModel(WEIGHTS, INTERCEPT)
 
@@ -52,7 +53,7 @@ def _metrics(spark, sf_dir):
 def matrix(spark, sf_dir):
     """The split model matrix of all stations."""
     table = X.season_onehot(chains.features_full(observations(spark, sf_dir), layout=layout_of(spark, sf_dir)))
-    return P.time_split(table.select(*ID, "aqi", *MODEL_FEATURES))
+    return written(P.time_split(table.select(*ID, "aqi", *MODEL_FEATURES)), shared_dir(spark, "matrix"))
 
 
 # The forest and the elastic net have their full sizes. The boosters run fewer, longer steps here: a round takes about
@@ -69,16 +70,15 @@ def _trained(kind):
     """Train one model and report its metrics per split."""
 
     def run(spark, sf_dir):
-        rows = matrix(spark, sf_dir).cache()
-        model = M.train(rows, kind, **QUICK[kind])
-        scored = M.predict(rows, model, kind).withColumn("model", F.lit(kind))
+        rows = matrix(spark, sf_dir)
+        scored = M.fit(rows, kind, **QUICK[kind]).transform(rows).withColumn("model", F.lit(kind))
         return M.metrics_table(scored)
 
     return run
 
 
 def _forest(spark, sf_dir):
-    rows = matrix(spark, sf_dir).cache()
+    rows = matrix(spark, sf_dir)
     return rows, M.train(rows, "forest", **QUICK["forest"])
 
 

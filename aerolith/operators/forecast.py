@@ -1,5 +1,6 @@
 """Autoregressive roll-out, current conditions, alerts and evaluation."""
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -145,6 +146,8 @@ def forecast_model(
 ) -> DataFrame:
     """Roll any fitted model ahead with its own ``transform``, one hour of all stations at a time.
 
+    ``model`` is a pipeline that takes feature columns, or a model on a vector of the features ``names``.
+
     Each hour's predictions and buffers are a table below ``path`` (a fresh shared folder by default), which the next
     hour reads: a row per station, joined with the weather of that hour. The result reads these tables, so the caller
     drops ``path`` once the result is no longer needed.
@@ -153,20 +156,23 @@ def forecast_model(
     path = path or shared_dir(spark, "roll-out")
     begin = start if start is not None else F.lit("1900-01-01").cast("timestamp_ntz")
     rows = written(_inputs(history, future, begin, steps, tz), f"{path}/inputs")
-    ahead = rows.select(*KEYS, F.posexplode("ahead").alias("step", "hour"))
+    ahead = rows.select(*KEYS, F.posexplode("ahead").alias("step", "_at"))
     ahead.write.partitionBy("step").parquet(f"{path}/ahead")
-    state = rows.select(*KEYS, F.struct(*_first_columns()).alias("state"))
+    state = rows.select(*KEYS, F.struct(*_first_columns()).alias("_state"))
     longest = rows.agg(F.max(F.size("ahead"))).first()[0] or 0
-    known = _step_features(F.col("state"), F.col("hour"))
-    vector = array_to_vector(F.array(*[F.coalesce(known[c].cast("double"), F.lit(0.0)) for c in names]))
+    known = _step_features(F.col("_state"), F.col("_at"))
+    if isinstance(model, PipelineModel):  # makes its own vector
+        inputs = {c: v.cast("double") for c, v in known.items()}
+    else:
+        inputs = {"features": array_to_vector(F.array(*[F.coalesce(known[c].cast("double"), F.lit(0.0)) for c in names]))}
     y = clip(F.col("predicted_aqi"), 0.0, MAX_AQI)
-    after = F.struct(*_next_state(F.col("state"), F.col("hour"), F.col("predicted_aqi"))).alias("state")
+    after = F.struct(*_next_state(F.col("_state"), F.col("_at"), F.col("predicted_aqi"))).alias("_state")
     schema, done = ahead.drop("step").schema, []
     for step in range(longest):
         hours = spark.read.schema(schema).parquet(f"{path}/ahead/step={step}")
-        now = hours.join(state.select(*KEYS, "state"), list(KEYS)).withColumn("features", vector)
+        now = hours.join(state.select(*KEYS, "_state"), list(KEYS)).withColumns(inputs)
         rolled = model.transform(now).withColumn("predicted_aqi", y).select(
-            *KEYS, F.col(f"hour.{TIME}").alias("timestamp"), "predicted_aqi", after
+            *KEYS, F.col(f"_at.{TIME}").alias("timestamp"), "predicted_aqi", after
         )
         done.append(f"{path}/rolled-{step}")
         state = written(rolled, done[-1])

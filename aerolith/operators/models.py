@@ -2,14 +2,15 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aerolith.functions.bands import clip
-from aerolith.operators.split import TRAIN, VALIDATION, scale
+from aerolith.operators.pipelines import Clamp, FeatureVector
+from aerolith.operators.split import TRAIN, VALIDATION, fit_scaler
 from aerolith.operators.stats import metric_columns, regression_metrics
 from aerolith.schema import KEYS, MODEL_FEATURES, TARGET, TIME
 
@@ -57,26 +58,47 @@ def assemble(df: DataFrame, features=MODEL_FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def train(df: DataFrame, kind: str, features=MODEL_FEATURES, label: str = TARGET, **overrides) -> Model:
-    """Fit one model on the training rows of a split table.
+def feature_vector(df: DataFrame, kind: str, features=MODEL_FEATURES) -> FeatureVector:
+    """How rows of a split table become a model's features; elastic net standardises by the training rows."""
+    if kind != "elastic_net":
+        return FeatureVector(names=list(features))
+    scaler = fit_scaler(df.filter(F.col("split") == TRAIN), features)
+    spread = [scaler.deviations[n] or 1.0 for n in features]
+    return FeatureVector(names=list(features), means=[scaler.means[n] or 0.0 for n in features], deviations=spread)
+
 
-    ``kind`` is forest, boost_shallow, boost_leafy or elastic_net.  The leafy
-    booster stops early on the validation rows.  Elastic net standardises by the
-    training rows first.
+def fit(df: DataFrame, kind: str, features=MODEL_FEATURES, label: str = TARGET, **overrides) -> PipelineModel:
+    """Fit one model on the training rows of a split table: from feature rows to clamped ``predicted_aqi``.
+
+    ``kind`` is forest, boost_shallow, boost_leafy or elastic_net.  The leafy booster stops early on the validation
+    rows.
     """
+    vector = feature_vector(df, kind, features)
+    model = _estimated(vector.transform(df), kind, label, overrides)
+    return PipelineModel([vector, model, Clamp(inputCol="predicted_aqi", low=0.0, high=MAX_PREDICTION)])
+
+
+def train(df: DataFrame, kind: str, features=MODEL_FEATURES, label: str = TARGET, **overrides) -> Model:
+    """The model of ``fit`` alone, without the stages around it."""
+    return model_of(fit(df, kind, features, label, **overrides))
+
+
+def model_of(pipeline: PipelineModel) -> Model:
+    return pipeline.stages[1]
+
+
+def _estimated(rows: DataFrame, kind: str, label: str, overrides: dict) -> Model:
     common = dict(featuresCol="features", labelCol=label, predictionCol="predicted_aqi")
+    fit_on = rows.filter(F.col("split") == TRAIN)
     if kind == "elastic_net":
-        scaled = scale(df, features, F.col("split") == TRAIN)
-        fit = assemble(scaled, features).filter(F.col("split") == TRAIN)
         params = {**ELASTIC_NET, **overrides}
-        spread = fit.agg(F.stddev_pop(label)).first()[0] or 1.0
+        spread = fit_on.agg(F.stddev_pop(label)).first()[0] or 1.0
         params |= penalties(params["regParam"], params["elasticNetParam"], spread)
-        return LinearRegression(solver=ELASTIC_NET_SOLVER, **common, **params).fit(fit)
-    rows = assemble(df, features)
+        return LinearRegression(solver=ELASTIC_NET_SOLVER, **common, **params).fit(fit_on)
     if kind == "forest":
-        return RandomForestRegressor(**common, **{**FOREST, **overrides}).fit(rows.filter(F.col("split") == TRAIN))
+        return RandomForestRegressor(**common, **{**FOREST, **overrides}).fit(fit_on)
     if kind == "boost_shallow":
-        return GBTRegressor(**common, **{**SHALLOW_BOOST, **overrides}).fit(rows.filter(F.col("split") == TRAIN))
+        return GBTRegressor(**common, **{**SHALLOW_BOOST, **overrides}).fit(fit_on)
     if kind == "boost_leafy":
         held = rows.filter(F.col("split").isin(TRAIN, VALIDATION)).withColumn(
             "held_out", F.col("split") == VALIDATION
@@ -96,25 +118,22 @@ def penalties(alpha: float, l1_ratio: float, spread: float) -> dict:
     return {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 + l2 else 0.0}
 
 
-def linear_of(model: Model, scaler, features=MODEL_FEATURES) -> LinearModel:
-    """A fitted linear model and its scaler as weights of the raw features: scores and rolls out without either."""
+def linear_of(pipeline: PipelineModel) -> LinearModel | None:
+    """A fitted or loaded linear pipeline as weights of the raw features, to score and roll out as one expression;
+    None for other models."""
+    vector, model = pipeline.stages[:2]
+    if not hasattr(model, "coefficients"):
+        return None
+    names = vector.getOrDefault(vector.names)
+    means = vector.getOrDefault(vector.means) or [0.0] * len(names)
+    spreads = vector.getOrDefault(vector.deviations) or [1.0] * len(names)
     weights, intercept = {}, float(model.intercept)
-    for name, w in zip(features, model.coefficients.toArray().tolist()):
-        mean, spread = scaler.means[name], scaler.deviations[name] or 1.0
+    for name, w, mean, spread in zip(names, model.coefficients.toArray().tolist(), means, spreads):
         weights[name] = w / spread
-        intercept -= w * (mean or 0.0) / spread
+        intercept -= w * mean / spread
     return LinearModel(weights, intercept)
 
 
-def predict(df: DataFrame, model: Model, kind: str, features=MODEL_FEATURES) -> DataFrame:
-    """Clamped predictions of a trained model for every row of a split table."""
-    rows = scale(df, features, F.col("split") == TRAIN) if kind == "elastic_net" else df
-    scored = model.transform(assemble(rows, features)).withColumn(
-        "predicted_aqi", clip(F.col("predicted_aqi"), 0.0, MAX_PREDICTION)
-    )
-    return scored.drop("features")
-
-
 def metrics_table(scored: DataFrame, by=("model",), actual: str = TARGET) -> DataFrame:
     """Nine metrics per model: train, val and test by rmse, mae and r2."""
     cols = [v.alias(n) for n, v in metric_columns(actual, "predicted_aqi").items()]

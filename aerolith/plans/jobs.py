@@ -2,11 +2,12 @@
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from aerolith.operators import features as X, forecast, match, models as M, registry as R, series as S, split as P
+from aerolith.operators import features as X, forecast, match, models as M, pipelines, registry as R, series as S, split as P
 from aerolith.plans import chains
-from aerolith.schema import AIR, FEED_TARGET, KEYS, MODEL_FEATURES, TIME, WEATHER
+from aerolith.schema import AIR, FEED_TARGET, KEYS, MODEL_FEATURES, REGISTRY, TIME, WEATHER
 from aerolith.session import drop_dir, shared_dir
 from aerolith.sources import landing, store
 
@@ -67,17 +68,11 @@ MODEL_NAMES = {
 
 @dataclass
 class Trained:
-    models: dict
+    models: dict  # fitted pipelines by name, from feature rows to predictions
     metrics: DataFrame
     ranked: DataFrame
     best: str
     features: list
-    linear: dict  # kinds that score and roll out as a LinearModel on raw features
-
-    def roll_out(self, name: str | None = None):
-        """What ``daily_forecast`` takes for a model of this run, the best one if none is named."""
-        name = name or self.best
-        return self.linear.get(name, self.models[name])
 
 
 def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FEATURES, kinds=tuple(MODEL_NAMES)) -> Trained:
@@ -86,26 +81,39 @@ def training_job(features: DataFrame, params: dict | None = None, names=MODEL_FE
     matrix = X.numeric_only(X.leakage_guard(X.model_matrix(features))).columns
     used = [n for n in names if n in matrix]
     rows = P.time_split(X.season_onehot(features).select(*KEYS, TIME, "aqi", *used)).persist()
-    fitted, linear, scored = {}, {}, None
+    fitted, scored = {}, None
     for kind in kinds:
         name = MODEL_NAMES[kind]
-        fitted[name] = M.train(rows, kind, used, **params.get(kind, {}))
-        if kind == "elastic_net":
-            scaler = P.fit_scaler(rows.filter(F.col("split") == P.TRAIN), used)
-            linear[name] = M.linear_of(fitted[name], scaler, used)
-        part = M.predict(rows, fitted[name], kind, used).select("split", "aqi", "predicted_aqi", F.lit(name).alias("model"))
+        fitted[name] = M.fit(rows, kind, used, **params.get(kind, {}))
+        part = fitted[name].transform(rows).select("split", "aqi", "predicted_aqi", F.lit(name).alias("model"))
         scored = part if scored is None else scored.unionByName(part)
     table = M.metrics_table(scored)
     metrics = features.sparkSession.createDataFrame(table.collect(), table.schema)  # one row per model
     rows.unpersist()
     ranked = M.select_best(metrics)
     best = ranked.filter("best_model").first()["model"]
-    return Trained(fitted, metrics, ranked, best, used, linear)
+    return Trained(fitted, metrics, ranked, best, used)
+
+
+def register(trained: Trained, models_path: str, registry_path: str, saved_at: Column) -> DataFrame:
+    """Save the ranked models of a training run and add their rows to the registry table; returns those rows.
+
+    Versions go on from those on file. Models are written first, so that no row points at a model that is not there.
+    """
+    spark = trained.ranked.sparkSession
+    known = R.read(spark, registry_path) if store.exists(spark, registry_path) else None
+    rows = R.entries(trained.ranked.drop("rank"), trained.features, models_path, saved_at, known)
+    found = rows.collect()  # one row per model
+    for r in found:
+        pipelines.save(trained.models[r["display_name"]], r["filesystem_path"])
+    rows = spark.createDataFrame(found, REGISTRY)
+    R.add(rows, registry_path)
+    return rows
 
 
-def register(trained: Trained, path: str, saved_at: Column, registry: DataFrame | None = None) -> DataFrame:
-    """The registry rows of a training run: next versions, with the features that were used."""
-    return R.entries(trained.ranked.drop("rank"), trained.features, path, saved_at, registry)
+def serve(features: DataFrame, model: PipelineModel, rows: int = 1) -> DataFrame:
+    """Predictions of a loaded model for the last hours of each station."""
+    return model.transform(S.tail(features, rows)).select(*KEYS, TIME, "predicted_aqi")
 
 
 def daily_forecast(
@@ -120,8 +128,11 @@ def daily_forecast(
 ):
     """Roll the chosen model ahead and cache the predictions as nested records.
 
-    ``model`` is a LinearModel, or a fitted ensemble as ``train`` returns it on the features ``names``.
+    ``model`` is a LinearModel, a pipeline as ``training_job`` fits it or the registry loads it, or the bare model of one
+    on the features ``names``. Linear pipelines are rolled out as one expression.
     """
+    if isinstance(model, PipelineModel):
+        model = M.linear_of(model) or model
     if isinstance(model, M.LinearModel):
         pred = forecast.forecast_linear(history, future, model, start, steps)
         store.write_predictions(store.prediction_records(pred, generated_at), path)

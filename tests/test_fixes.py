@@ -109,9 +109,9 @@ def test_linear_model_on_raw_features_equals_the_scaled_one(spark):
     rng = np.random.default_rng(4)
     rows = [(1, at(i), float(v[0] * 3 + 60), *map(float, v), "train") for i, v in enumerate(rng.normal(5, 3, (200, 2)))]
     df = spark.createDataFrame(rows, "station_id int, time timestamp_ntz, aqi double, a double, b double, split string")
-    model = M.train(df, "elastic_net", ["a", "b"])
-    linear = M.linear_of(model, P.fit_scaler(df, ["a", "b"]), ["a", "b"])
-    want = {r["time"]: r["predicted_aqi"] for r in M.predict(df, model, "elastic_net", ["a", "b"]).collect()}
+    model = M.fit(df, "elastic_net", ["a", "b"])
+    linear = M.linear_of(model)
+    want = {r["time"]: r["predicted_aqi"] for r in model.transform(df).collect()}
     for r in M.score(df, linear).collect():
         assert abs(r["predicted_aqi"] - want[r["time"]]) < 1e-9
 

@@ -67,8 +67,7 @@ def test_every_trained_kind_rolls_out(spark, obs, parts, features, tmp_path):
     history, _ = parts
     for name in trained.models:
         path = str(tmp_path / name.replace(" ", "_"))
-        model = trained.roll_out(name)
-        jobs.daily_forecast(*parts, model, None, F.lit("2024-02-01").cast("timestamp_ntz"), path, 4, trained.features)
+        jobs.daily_forecast(*parts, trained.models[name], None, F.lit("2024-02-01").cast("timestamp_ntz"), path, 4, trained.features)
         got = store.read_predictions(spark, path)
         per = got.groupBy("station_id").agg(F.count("*").alias("n"), F.min("predicted_aqi").alias("lo"), F.max("predicted_aqi").alias("hi")).collect()
         assert len(per) == history.select("station_id").distinct().count()
