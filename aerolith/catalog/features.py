@@ -22,8 +22,10 @@ from aerolith.catalog.base import (
 )
 from aerolith.functions.calendar import hour_ceil
 from aerolith.operators import features as X, impute, quality, series as S
+from aerolith.operators.buckets import TimeBuckets
 from aerolith.plans import chains
 from aerolith.schema import AIR, CALENDAR, CYCLICAL, INTERPOLATED, MODEL_FEATURES, POLLUTANTS, RAW, WEATHER
+from aerolith.sources import event_feed
 
 AS_OF = "2024-01-20 07:30:00"
 
@@ -101,6 +103,10 @@ QUERIES = {
     "aqi_change_rates": _on_series(lambda o, l: X.change_rates(o, l), *CHANGED),
     "aqi_pct_change": _on_series(lambda o, l: X.pct_change(o, layout=l), *PCT),
     "features_full": lambda s, d: rounded(_features(s, d)),
+    # Two stations with a row every few hours for years, cut into years; a month is looked back on.
+    "features_long_bucketed": lambda s, d: rounded(
+        chains.features_bucketed(event_feed.order_series(s, d, 2), TimeBuckets(365 * 24, 45 * 24, 10 * 24))
+    ),
     "features_long": lambda s, d: rounded(chains.features_full(order_series(s, d), layout=order_layout(s, d))),
     "features_forecast": lambda s, d: rounded(_forecast_features(s, d)),
     "season_onehot": _on_obs(
@@ -185,6 +191,7 @@ ORACLES = {
         f'pct as (select station_id, time, {_pct(1)}, {_pct(24)} from back)')}
         select station_id, time, {rs(PCT)} from pct""",
     "features_full": f"{with_(OBS, Q.features_ctes())} {Q.features_select()}",
+    "features_long_bucketed": f"{with_(ORDER_SERIES.replace('cast(l_suppkey as int)', 'cast(l_suppkey % 2 as int)'), Q.features_ctes())} {Q.features_select()}",
     "features_long": f"{with_(ORDER_SERIES, Q.features_ctes())} {Q.features_select()}",
     "features_forecast": f"""{with_(OBS, SPLIT_FORECAST, Q.forecast_features_ctes())}
         select station_id, time, {rs(Q.FORECAST_DOUBLES)}, {', '.join(CALENDAR)}, season from forecast_features""",

@@ -17,15 +17,21 @@ EXPECTED_RANGES = {
 }
 
 
+def plausible(columns) -> Column:
+    """Whether the values that ``columns`` name are in range; NULL where one is missing."""
+    out = F.lit(True)
+    if "aqi" in columns:
+        out &= F.col("aqi").between(*VALID_AQI)
+    if "temperature_2m" in columns:
+        out &= F.col("temperature_2m").between(*VALID_TEMPERATURE)
+    if {"pm2_5", "pm10"} <= set(columns):
+        out &= F.col("pm2_5") <= F.col("pm10")
+    return out
+
+
 def validate_ranges(df: DataFrame) -> DataFrame:
     """Keep plausible rows; a missing value fails its check."""
-    if "aqi" in df.columns:
-        df = df.filter(F.col("aqi").between(*VALID_AQI))
-    if "temperature_2m" in df.columns:
-        df = df.filter(F.col("temperature_2m").between(*VALID_TEMPERATURE))
-    if {"pm2_5", "pm10"} <= set(df.columns):
-        df = df.filter(F.col("pm2_5") <= F.col("pm10"))
-    return df
+    return df.filter(plausible(df.columns))
 
 
 def drop_incomplete(df: DataFrame, cols=None) -> DataFrame:
@@ -49,7 +55,7 @@ def with_ranges(ready: DataFrame, cols, layout: S.Layout, ranges: DataFrame) ->
     if ranges is None and not layout.chunked:
         whole = Window.partitionBy(*layout.by())
         return ready.withColumns({f"_range_{c}": F.max(c).over(whole) - F.min(c).over(whole) for c in cols})
-    return ready.join(ranges, list(layout.keys), "left")
+    return ready.join(ranges, [k for k in layout.keys if k in ranges.columns], "left")
 
 
 def near_duplicate(cols, window, threshold: float = NEAR_DUPLICATE) -> Column:

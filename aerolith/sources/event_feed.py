@@ -75,12 +75,15 @@ def air_observations(obs: DataFrame) -> DataFrame:
     return obs.select(*KEYS, TIME, *AIR)
 
 
-def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_series(spark: SparkSession, sf_dir: str, stations: int | None = None) -> DataFrame:
     """Irregular series: one station per supplier, one row per order it serves.
 
-    The order number is the hour, so neighbouring rows lie many hours apart.
+    The order number is the hour, so neighbouring rows lie many hours apart. With ``stations``, suppliers are dealt to
+    so many, whose series are long.
     """
     lines = table(spark, sf_dir, "lineitem")
+    if stations:
+        lines = lines.withColumn("l_suppkey", F.col("l_suppkey") % stations)
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     per = lines.groupBy(F.col("l_suppkey").cast("int").alias("station_id"), F.col("l_orderkey").alias("ok")).agg(
         F.sum(F.col("l_quantity").cast("long")).alias("q"),

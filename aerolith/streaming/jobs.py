@@ -12,17 +12,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from aerolith.functions.bands import affected_groups, alert_level, aqi_category
 from aerolith.operators import match
+from aerolith.operators.buckets import SURE_ROWS
 from aerolith.operators.features import CHANGE_ROWS
 from aerolith.operators.quality import feature_range, validate_ranges
 from aerolith.operators.series import Layout, choose_layout
 from aerolith.plans import chains
 from aerolith.schema import (
-    AIR_FILL_LIMIT,
     CHANGE_HOURS,
     INTERPOLATED,
     KEYS,
     LAGS,
-    MEDIAN_ROWS,
     RAW,
     RAW_OBS,
     TIME,
@@ -115,9 +114,6 @@ def upsert_batches(path: str, shards: int = store.SHARDS):
     return handle
 
 
-# Complete rows needed ahead of a touched hour so that nothing before them matters:
-# those that lags reach, and those a median and its forward fill reach.
-SURE_ROWS = CHANGE_ROWS + MEDIAN_ROWS + AIR_FILL_LIMIT
 HALO_HOURS = 7 * 24
 
 
