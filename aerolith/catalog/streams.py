@@ -20,7 +20,6 @@ from aerolith.catalog.statistics import label_sql
 from aerolith.schema import RAW, TIME
 from aerolith.session import shared_dir
 from aerolith.sources import store
-from aerolith.sources.event_feed import table
 from aerolith.streaming import jobs as J
 
 
@@ -51,11 +50,11 @@ def _first_load(spark, sf_dir):
 
 
 def _hourly(spark, sf_dir):
-    """Hours that the watermark has closed for certain."""
-    out = _through_files(spark, J.hourly(J.event_stream(spark, sf_dir)), "hourly")
-    newest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    closed = F.col(TIME) + F.expr("interval 1 hour") <= F.lit(str(newest)).cast("timestamp_ntz") - F.expr("interval 2 hours")
-    return out.filter(closed)
+    """All hours with events, closed or not."""
+    path = shared_dir(spark, "hourly")
+    stream = J.hourly(J.event_stream(spark, sf_dir))
+    _run(J.for_each(stream, J.upsert_hours(path, 4), shared_dir(spark, "hourly-checkpoint"), "update"))
+    return store.plain(store.read_table(spark, path))
 
 
 def _dedupe(spark, sf_dir):
@@ -70,14 +69,13 @@ def _refresh(spark, sf_dir):
     rows = with_copies(observations(spark, sf_dir))
     early = (F.col("ingest_seq") == 0) & (F.dayofmonth(TIME) <= 20)
     folder = shared_dir(spark, "arrivals")
-    raw, features = shared_dir(spark, "raw"), shared_dir(spark, "features")
+    raw, features, months = (shared_dir(spark, n) for n in ("raw", "features", "months"))
     checkpoint = shared_dir(spark, "refresh-checkpoint")
     cols = [f.name for f in J.HOURLY]
     for part in (rows.filter(early), rows.filter(~early)):
         part.select(*cols).write.mode("append").parquet(folder)
-        _run(J.for_each(J.hourly_stream(spark, folder), J.refresh_features(raw, features, 4), checkpoint))
-    # The near-duplicate flag depends on the range known when a row was written.
-    return store.plain(store.read_table(spark, features)).drop("is_duplicate")
+        _run(J.for_each(J.hourly_stream(spark, folder), J.refresh_features(raw, features, months, 4), checkpoint))
+    return J.refreshed(spark, features, months)
 
 
 def _lags(spark, sf_dir):
@@ -104,16 +102,14 @@ QUERIES = {
 }
 
 _pct = "abs(predicted_aqi - aqi) / nullif(aqi, 0) * 100"
-_others = [c for c in Q.FEATURE_OTHERS if c != "is_duplicate"]
 
 ORACLES = {
-    "stream_hourly": f"""{with_(OBS)} select station_id, time, {rs(RAW)} from hourly
-        where time + interval 1 hour <= (select max(ts) from events) - interval 2 hour""",
+    "stream_hourly": f"{with_(OBS)} select station_id, time, {rs(RAW)} from hourly",
     "stream_dedupe": f"""{with_(OBS)} select station_id, time, max(event_id) as ingest_seq, arg_max(c, event_id) as c,
         arg_max(event_type, event_id) as event_type from ev group by station_id, time""",
     "stream_feature_refresh": f"""{with_(OBS, COPIES, '''corrected as (select * exclude (ingest_seq) from copies
             qualify row_number() over (partition by station_id, time order by ingest_seq desc) = 1)''',
-        Q.features_ctes('corrected'))} select {', '.join(_others)}, {rs(Q.FEATURE_DOUBLES)} from features""",
+        Q.features_ctes('corrected'))} select {', '.join(Q.FEATURE_OTHERS)}, {rs(Q.FEATURE_DOUBLES)} from features""",
     "stream_lag_state": f"""{with_(OBS, f'lagged as (select station_id, time, {Q.LAG_SQL}, {Q.CHANGE_SQL} from obs)')}
         select station_id, time, {rs(Q.LAG_COLUMNS + Q.CHANGE_COLUMNS)} from lagged""",
     "stream_error_monitor": f"""{with_(OBS, PREDICTIONS,

@@ -63,17 +63,33 @@ def near_duplicate(cols, window, threshold: float = NEAR_DUPLICATE) -> Column:
 
     Columns without a range are skipped; with none left, or a missing step, false.
     """
+    return _all_small({c: step(c, window) for c in cols}, threshold)
+
+
+def step(name: str, window) -> Column:
+    """How far a value lies from that of the row before."""
+    return F.abs(F.col(name) - F.lag(name).over(window))
+
+
+def _all_small(steps: dict[str, Column], threshold: float) -> Column:
     every, some = F.lit(True), F.lit(False)
-    for c in cols:
+    for c, far in steps.items():
         spread = F.col(f"_range_{c}")
         varies = F.coalesce(spread > 0, F.lit(False))
-        step = F.abs(F.col(c) - F.lag(c).over(window))
-        small = F.coalesce(F.try_divide(step, spread) < threshold, F.lit(False))
+        small = F.coalesce(F.try_divide(far, spread) < threshold, F.lit(False))
         every = every & (~varies | small)
         some = some | varies
     return every & some
 
 
+def flag_steps(df: DataFrame, ranges: DataFrame, cols=INTERPOLATED, keys=KEYS, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """Rows with kept steps (``_step_x``) get ``is_duplicate`` by the ranges of now instead."""
+    cols = [c for c in cols if f"_step_{c}" in df.columns]
+    flag = _all_small({c: F.col(f"_step_{c}") for c in cols}, threshold)
+    flagged = df.join(ranges, list(keys), "left").withColumn("is_duplicate", flag)
+    return flagged.drop(*[f"{p}{c}" for c in cols for p in ("_step_", "_range_")])
+
+
 def duplicate_weather(
     df: DataFrame,
     cols=INTERPOLATED,

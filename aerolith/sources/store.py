@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from aerolith.operators.split import TRAIN, time_split
 from aerolith.schema import KEYS, PREDICTION_RECORD, TARGET, TIME
 from aerolith.functions.bands import aqi_category
+from aerolith.session import drop_dir, shared_dir, written
 
 MONTH, SHARD = "part_month", "part_shard"
 SHARDS = 32
@@ -17,7 +18,8 @@ DELETED = "is_deleted"
 _DAY = "_day"
 
 
-def _placed(df: DataFrame, shards: int, keys) -> DataFrame:
+def placed(df: DataFrame, shards: int = SHARDS, keys=KEYS) -> DataFrame:
+    """Rows with the partition they belong to."""
     return df.withColumns(
         {
             MONTH: F.date_format(TIME, "yyyy-MM"),
@@ -48,26 +50,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
     """Add rows; nothing is written for an empty frame."""
     if not df.isEmpty():
-        _write(_by_day(_placed(df, shards, keys)), path, "append")
+        _write(_by_day(placed(df, shards, keys)), path, "append")
+
+
+def partitions_of(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``table`` in the partitions that the placed ``rows`` belong to; months and shards without any are not read."""
+    found = rows.agg(F.collect_set(MONTH).alias("months"), F.collect_set(SHARD).alias("shards")).first()
+    some = table.filter(F.col(MONTH).cast("string").isin(found["months"]) & F.col(SHARD).isin(found["shards"]))
+    return some.join(rows.select(MONTH, SHARD).distinct(), [MONTH, SHARD], "left_semi")
 
 
 def upsert(df: DataFrame, path: str, shards: int = SHARDS, keys=KEYS) -> None:
     """Insert or replace rows by (keys, time); the highest ``ingest_seq`` wins.
 
-    Only the partitions that receive rows are read and replaced.  They are
+    The rows are computed once; only the partitions that receive any are read and replaced.  They are
     swapped in when the job commits, so a lost executor leaves the old ones.
     """
     spark = df.sparkSession
-    new = _placed(df, shards, keys)
+    new, stage = placed(df, shards, keys), None
     if exists(spark, path):
-        touched = new.select(MONTH, SHARD).distinct()
-        old = read_table(spark, path).join(touched, [MONTH, SHARD], "left_semi")
-        new = new.unionByName(old, allowMissingColumns=True)
+        stage = shared_dir(spark, "upsert")
+        new = written(new, stage)
+        new = new.unionByName(partitions_of(read_table(spark, path), new), allowMissingColumns=True)
     # Grouping by the shuffle's columns as well lets the same shuffle serve both steps.
     key = [MONTH, SHARD, _DAY, *keys, TIME]
     row = F.struct(*[c for c in new.columns if c not in key])
     latest = _by_day(new).groupBy(*key).agg(F.max_by(row, F.col(ORDER)).alias("r")).select(*key, "r.*")
     _write(latest, path, "overwrite")
+    if stage:
+        drop_dir(spark, stage)
 
 
 def plain(table: DataFrame) -> DataFrame:

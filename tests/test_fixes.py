@@ -49,42 +49,64 @@ def test_error_monitor_matches_as_evaluation_does(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
-class _State:
+class _Map:
+    """A map state without a store."""
+
     def __init__(self):
-        self.exists, self.get = False, None
+        self.rows = {}
+        self.keys = lambda: iter(list(self.rows))
+        self.getValue = lambda k: self.rows[k]
+        self.updateValue = self.rows.__setitem__
+        self.removeKey = self.rows.__delitem__
 
-    def update(self, value):
-        self.exists, self.get = True, value
+    def getMapState(self, *_):
+        return self
 
 
-def _lags(state, hours, seq=None):
-    frame = pd.DataFrame({"station_id": 1, "time": [at(h) for h, _ in hours], "ingest_seq": seq or 0})
+def _lags(state, hours, seq=0, piece=10**6):
+    """Output rows of a trigger whose rows come in pieces of so many."""
+    processor = streams.LagProcessor()
+    processor.init(state)
+    frame = pd.DataFrame({"station_id": 1, "time": [at(h) for h, _ in hours], "ingest_seq": seq})
     for c in streams._BUFFERED:
         frame[c] = [v for _, v in hours]
-    return pd.concat(list(streams._lag_rows((1,), iter([frame]), state)))
+    pieces = [frame.iloc[i : i + piece] for i in range(0, len(frame), piece)]
+    return [r for out in processor.handleInputRows((1,), iter(pieces), None) for r in out.to_dict("records")]
 
 
-def test_lag_state_replaces_corrected_hours():
-    state = _State()
-    table = {}
+@pytest.mark.parametrize("piece", [1, 10])
+def test_lag_state_replaces_corrected_hours(piece):
+    state, table = _Map(), {}
     for hours in ([(0, 0.0), (1, 1.0), (2, 2.0)], [(2, 20.0)], [(3, 3.0)], [(5, 5.0)], [(4, 4.0)]):
-        for r in _lags(state, hours).to_dict("records"):
+        for r in _lags(state, hours, piece=piece):
             table[r["time"]] = r
     assert sorted(table) == [pd.Timestamp(at(h)) for h in range(6)]
     assert table[pd.Timestamp(at(3))]["pm2_5_lag_1h"] == 20.0 and table[pd.Timestamp(at(3))]["pm2_5_lag_3h"] == 0.0
     assert table[pd.Timestamp(at(5))]["pm2_5_lag_1h"] == 4.0
 
 
-def test_lag_state_over_a_long_stream_equals_the_whole_series():
+def test_lag_state_keeps_the_row_of_highest_sequence():
+    state = _Map()
+    _lags(state, [(0, 1.0)], seq=5)
+    assert _lags(state, [(0, 2.0)], seq=4) == []
+    (row,) = _lags(state, [(1, 3.0)], seq=0)
+    assert row["pm2_5_lag_1h"] == 1.0
+
+
+@pytest.mark.parametrize("piece, parts", [(1, 60), (7, 60), (1, 1), (400, 400)])
+def test_lag_state_over_a_long_stream_equals_the_whole_series(piece, parts, monkeypatch):
+    monkeypatch.setattr(streams, "SENT_ROWS", 11)
     rng = np.random.default_rng(0)
     values = rng.normal(size=400)
-    state, table = _State(), {}
+    state, table = _Map(), {}
     order = np.argsort(np.arange(400) + rng.uniform(0, 12, 400))
-    for part in np.array_split(order, 60):
-        for r in _lags(state, [(int(h), float(values[h])) for h in part]).to_dict("records"):
+    for part in np.array_split(order, parts):
+        for r in _lags(state, [(int(h), float(values[h])) for h in part], piece=piece):
             table[r["time"]] = r
+        assert len(state.rows) <= streams.KEPT_ROWS
     for h in range(30, 400):
-        assert table[pd.Timestamp(at(h))]["pm2_5_lag_24h"] == values[h - 24]
+        r = table[pd.Timestamp(at(h))]
+        assert r["pm2_5_lag_24h"] == values[h - 24] and r["aqi_change_6h"] == values[h - 1] - values[h - 7]
 
 
 def test_elastic_net_has_the_stated_penalty(spark):
