@@ -6,9 +6,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from aerolith.llm.common import batch, crc_fold, documents, saved
+from aerolith.llm.common import batch, crc_fold, discard, documents, saved
 from aerolith.llm.learning import bounded, logistic
 
 # Bounds on what the classifier is fitted on: labelled texts per class for the counts, and texts for the calibration.
@@ -21,6 +21,9 @@ HALF_WORD, HALF_PAIR = 3, 40
 OPEN_WORDS = 200_000
 MOST = 6.0
 THRESHOLD = 0.3
+MEASURES = ("whole", "mean", "peak", "size")
+# Words that are looked up together.
+SLICE_WORDS = 150_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_…«»“”"
 UNKNOWN, START = 0, 1
 # Words are known by Spark's xxhash64, so that the driver and every worker hold numbers only.
@@ -32,12 +35,6 @@ def words_of(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := x.strip(EDGE))]
 
 
-def _column_words(text: Column) -> Column:
-    """The words of ``words_of`` where only common white space occurs; used for counting alone."""
-    bare = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.btrim(x, F.lit(EDGE)))
-    return F.filter(bare, lambda x: x != "")
-
-
 @dataclass
 class Counts:
     """What the models are made of; pairs count the texts that have word b after word a, not their repeats.
@@ -149,49 +146,78 @@ class Model:
         order = np.argsort(keys)
         keys, o, t = keys[order], o[order], t[order]
         del order
-        first = keys // size
         shares = np.empty((2, len(keys)), np.float32)
+        pair_trust = np.empty(len(keys), np.float32)
+        left = np.ones((2, size))
         for x in steps:
-            for c, n in enumerate((o, t)):
-                shares[c, x] = np.maximum(n[x] - discount, 0) / np.maximum(after[c][first[x]], 1)
-        left = np.stack([1 - np.bincount(first, shares[c], size) for c in (0, 1)])
+            first = keys[x] // size
+            for c, n in enumerate((o[x], t[x])):
+                shares[c, x] = np.maximum(n - discount, 0) / np.maximum(after[c][first], 1)
+                np.subtract.at(left[c], first, shares[c, x])
+            pair_trust[x] = trust(o[x] + t[x], HALF_PAIR)
         met = np.maximum(types.sum(0), after.sum(0))
         return cls(
             vocabulary, keys, shares, np.maximum(left, 1e-6), continuation,
-            trust(met, HALF_WORD), trust(o + t, HALF_PAIR),
+            trust(met, HALF_WORD), pair_trust,
         )
 
-    def log_odds(self, words: list[str]) -> np.ndarray:
-        """For each word the log of its probability in toxic texts over that in ordinary ones, 0 if unknown.
+    def evidence(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word number ``second`` after ``first`` the log of its probability in toxic texts over that in ordinary
+        ones: by the models, and as far as it is trusted. Unknown words are no evidence.
 
-        The odds of the word alone and what the word before it adds are trusted by how often each was met.
+        Trusted odds are those of the word alone and what a known pair adds, each by how often it was met.
         """
-        size = self.continuation.shape[1]
-        second = _numbers(self.vocabulary, _hashes(words))
-        first = np.concatenate(([START], second[:-1]))
         alone = np.maximum(self.continuation[:, second], 1e-12)
         odds = np.log(alone[1] / alone[0])
-        found = odds * self.word_trust[second]
-        if len(self.keys):
-            key = first * size + second
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p = np.maximum(self.left[:, first] * self.continuation[:, second] + self.shares[:, at], 1e-12)
-            found += (np.log(p[1] / p[0]) - odds) * self.pair_trust[at] * (self.keys[at] == key)
-        return np.where(second == UNKNOWN, 0.0, found)
-
-    def measures(self, text: str) -> tuple[float, float]:
-        """Log odds for toxicity a word: over the whole text, and over its WINDOW words that look most toxic.
-
-        Odds against it count as none: a passage that only ordinary texts quote does not excuse what stands beside it.
+        whole = odds + np.log(self.left[1, first] / self.left[0, first])  # what an unseen pair backs off to
+        trusted = odds * self.word_trust[second]
+        known = np.flatnonzero((first != UNKNOWN) & (second != UNKNOWN))
+        if len(self.keys) and len(known):
+            keys = first[known] * self.continuation.shape[1] + second[known]
+            order = np.argsort(keys)  # neighbouring searches then touch neighbouring memory
+            keys, known = keys[order], known[order]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            met = self.keys[at] == keys
+            at, known = at[met], known[met]
+            f, s = first[known], second[known]
+            p = np.maximum(self.left[:, f] * self.continuation[:, s] + self.shares[:, at], 1e-12)
+            whole[known] = np.log(p[1] / p[0])
+            trusted[known] += (whole[known] - odds[known]) * self.pair_trust[at]
+        unknown = second == UNKNOWN
+        whole[unknown] = trusted[unknown] = 0.0
+        return whole, trusted
+
+    def log_odds(self, words: list[str]) -> np.ndarray:
+        """Trusted log odds of the words of one text."""
+        second = _numbers(self.vocabulary, _hashes(words))
+        return self.evidence(np.concatenate(([START], second[:-1])), second)[1]
+
+    def measures(self, texts: list[list[str]]) -> np.ndarray:
+        """A row of MEASURES for each text, given as its words.
+
+        The words of all texts are looked up together: each distinct word is hashed and found once. ``whole`` is the
+        difference of the two models' log-likelihoods a word. ``mean`` and ``peak`` are additions to it, for long texts
+        that are toxic in a few places: trusted odds for toxicity a word, odds against it counting as none (a
+        passage that only ordinary texts quote does not excuse what stands beside it), over the text and over its
+        WINDOW words that look most toxic. More windows have a higher peak by chance, so that ``size``, the log of
+        their number, goes with it.
         """
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0
-        odds = np.clip(self.log_odds(words), 0, MOST)
-        if len(odds) <= WINDOW:
-            return float(odds.mean()), float(odds.sum() / WINDOW)
-        sums = np.concatenate(([0.0], np.cumsum(odds)))
-        return float(odds.mean()), float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(w, len(number)) for words in texts for w in words), np.int64)
+        second = _numbers(self.vocabulary, _hashes(list(number)))[at] if len(at) else at
+        first = np.concatenate(([START], second[:-1]))
+        ends = np.cumsum([len(words) for words in texts])
+        first[ends[:-1][ends[:-1] < len(second)]] = START
+        whole, trusted = self.evidence(first[: len(second)], second)
+        odds = np.clip(trusted, 0, MOST)
+        out = np.zeros((len(texts), len(MEASURES)))
+        for i, (end, words) in enumerate(zip(ends.tolist(), texts)):
+            if n := len(words):
+                mine = odds[end - n : end]
+                sums = np.concatenate(([0.0], np.cumsum(mine)))
+                peak = (sums[WINDOW:] - sums[:-WINDOW]).max() if n > WINDOW else sums[-1]
+                out[i] = whole[end - n : end].mean(), sums[-1] / n, peak / WINDOW, np.log(max(1, n - WINDOW + 1))
+        return out
 
 
 _WORDS = pa.schema([("b", pa.string()), ("shared", pa.int64())])
@@ -218,57 +244,82 @@ def corpus_words(docs: DataFrame, most: int = OPEN_WORDS) -> DataFrame:
     return counted.groupBy("b").agg(F.sum("shared").alias("shared"))
 
 
+_PAIRS = pa.schema([("toxic", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def text_pairs(texts: DataFrame) -> DataFrame:
+    """``toxic, a, b``: the distinct pairs of neighbouring words of each text as hashes; 0 stands before the first word."""
+
+    def run(batches):
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                if words:
+                    number: dict[str, int] = {}
+                    second = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) + 1
+                    hashes = np.concatenate(([0], _hashes(list(number))))
+                    keys = np.unique(np.concatenate(([0], second[:-1])) * len(hashes) + second)
+                    yield batch(_PAIRS, np.full(len(keys), toxic, np.int64), hashes[keys // len(hashes)], hashes[keys % len(hashes)])
+
+    return texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, a long, b long")
+
+
 def count(texts: DataFrame, corpus: DataFrame) -> Counts:
     """Counts over the labelled ``text, toxic`` (0 or 1) and ``corpus``, the ``corpus_words`` of all texts.
 
-    Made by Spark; all words and pairs of the labelled texts, which are a bounded sample, reach the driver, as
-    numbers.
+    Made by Spark from the same words as are scored; all words and pairs of the labelled texts, which are a bounded
+    sample, reach the driver, as numbers. Tables written on the way are deleted again.
     """
-    words = texts.select("toxic", _column_words(F.col("text")).alias("w"))
-    # A pair is one string while texts are deduplicated: arrays of strings are distinct by hashing. Words have no spaces.
-    starts = F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
-    pair = F.explode(F.array_distinct(F.zip_with(starts, "w", lambda a, b: F.concat_ws(" ", a, b)))).alias("p")
-    found = (
-        words.filter(F.size("w") > 0)
-        .select("toxic", pair)
-        .groupBy("p")
-        .agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
-    )
-    first = F.substring_index("p", " ", 1)
     pairs = saved(
-        found.select(F.when(first != "", first).alias("a"), F.substring_index("p", " ", -1).alias("b"), "o", "t"),
+        text_pairs(texts).groupBy("a", "b").agg(F.sum(1 - F.col("toxic")).cast("int").alias("o"), F.sum("toxic").cast("int").alias("t")),
         "word-pairs",
     )
     has = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    ends = saved(pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt")), "words")
-    begins = pairs.groupBy("a").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    ends = pairs.groupBy("b").agg(has("o").alias("ko"), has("t").alias("kt"))
+    begins = pairs.filter("a != 0").groupBy(F.col("a").alias("b")).agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    both = ends.join(corpus, "b", "left").join(begins, F.col("b") == F.col("a"), "left")
-    seen = (zero(c).alias(c) for c in ("shared", "o", "t"))
-    known = saved(both.select(F.xxhash64("b").alias("b"), "ko", "kt", *seen), "known-words")
-    before = F.when(F.col("a").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("a"))
-    kinds = ends.agg(*(zero(F.sum(c)) for c in ("ko", "kt"))).first()
-    start = pairs.filter("a is null").agg(zero(F.sum("o")), zero(F.sum("t"))).first()
-    return Counts(
+    shared = corpus.select(F.xxhash64("b").alias("b"), "shared")
+    both = ends.join(shared, "b", "left").join(begins, "b", "left")
+    known = saved(both.select("b", "ko", "kt", *(zero(c).alias(c) for c in ("shared", "o", "t"))), "known-words")
+    kinds = known.agg(*(zero(F.sum(c)) for c in ("ko", "kt"))).first()
+    start = pairs.filter("a = 0").agg(zero(F.sum("o")), zero(F.sum("t"))).first()
+    counts = Counts(
         _arrays(known, [np.int64] * 6),
         tuple(start),
-        _arrays(pairs.select(before, F.xxhash64("b"), "o", "t"), [np.int64, np.int64, np.int32, np.int32]),
+        _arrays(pairs.select("a", "b", "o", "t"), [np.int64, np.int64, np.int32, np.int32]),
         (*kinds, corpus.agg(zero(F.sum("shared"))).first()[0]),
     )
+    discard(pairs)
+    discard(known)
+    return counts
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("mean", pa.float64()), ("peak", pa.float64())])
+_ARROW = pa.schema([("doc_id", pa.int64())] + [(c, pa.float64()) for c in MEASURES])
+_ARROW_SQL = "doc_id long, " + ", ".join(f"{c} double" for c in MEASURES)
 
 
 def measure(docs: DataFrame, model) -> DataFrame:
-    """``doc_id, mean, peak`` of every row; ``model`` is a broadcast Model."""
+    """``doc_id`` and MEASURES of every row; ``model`` is a broadcast Model."""
+
+    def of(ids, texts):
+        got = model.value.measures(texts)
+        return batch(_ARROW, pa.array(ids, pa.int64()), *(pa.array(c) for c in got.T))
 
     def run(batches):
         for b in batches:
-            got = np.array([model.value.measures(t) for t in b.column(1).to_pylist()]).reshape(-1, 2)
-            yield batch(_ARROW, b.column(0), pa.array(got[:, 0]), pa.array(got[:, 1]))
+            ids, texts, held = [], [], 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                words = words_of(text.as_py())
+                ids.append(i)
+                texts.append(words)
+                held += len(words)
+                if held >= SLICE_WORDS:
+                    yield of(ids, texts)
+                    ids, texts, held = [], [], 0
+            if ids:
+                yield of(ids, texts)
 
-    return documents(docs).mapInArrow(run, "doc_id long, mean double, peak double")
+    return documents(docs).mapInArrow(run, _ARROW_SQL)
 
 
 def toxicity(
@@ -281,8 +332,8 @@ def toxicity(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; ``labels`` has ``doc_id, toxic`` (0 or 1).
 
-    Counts come from labelled texts of folds 0 and 1 (crc32 of the id as text, modulo 4), the calibration of the two
-    length-normalised log odds from fold 3; fold 2 is held out. Both are bounded samples of whole texts. The counts
+    Counts come from labelled texts of folds 0 and 1 (crc32 of the id as text, modulo 4), the calibration of the
+    MEASURES, first of all the length-normalised difference of the log-likelihoods, from fold 3; fold 2 is held out. Both are bounded samples of whole texts. The counts
     that both classes back off to come from every text, labelled or not. Null and blank texts get the score of a text that says nothing. Null labels are no labels; repeated labels count once, the
     higher one. Without labels, or of one class only, every score is the share of toxic labels (0 without any).
     """
@@ -298,18 +349,23 @@ def toxicity(
     )
     texts = saved(documents(docs).join(F.broadcast(learn), "doc_id"), "learn-texts")
     corpus = saved(corpus_words(docs), "corpus-words")
-    model = spark.sparkContext.broadcast(Model.fit(count(texts.filter("use = 'count'"), corpus)))
+    counts = count(texts.filter("use = 'count'"), corpus)
+    discard(corpus)
+    model = spark.sparkContext.broadcast(Model.fit(counts))
     held = texts.filter("use = 'calibrate'")
     known = measure(held, model).join(F.broadcast(learn.select("doc_id", "toxic")), "doc_id").collect()
+    discard(texts)
+    discard(learn)
     y = np.array([r["toxic"] for r in known], float)
-    x = np.array([[r["mean"], r["peak"]] for r in known], float).reshape(-1, 2)
+    x = np.array([[r[c] for c in MEASURES] for r in known], float).reshape(-1, len(MEASURES))
     if 0 < y.sum() < len(y):
         w = logistic(x, y)
     else:
         share = float(y.mean()) if len(y) else 0.0
-        w = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
-    w = [float(v) for v in w]
-    odds = F.lit(w[0]) + w[1] * F.col("mean") + w[2] * F.col("peak")
+        w = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * len(MEASURES))
+    odds = F.lit(float(w[0]))
+    for c, v in zip(MEASURES, w[1:]):
+        odds += float(v) * F.col(c)
     return measure(docs, model).select(
         "doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), (1 / (1 + F.exp(-odds))).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -53,10 +53,10 @@ def test_estimates_are_probabilities():
     size = len(names) + 2
     for c in (0, 1):
         total = m.continuation[c][2:].sum()
-        assert abs(total - 1) < 0.1
+        assert abs(total - 1) < 1e-9
         for first in range(2, size):
             row = m.left[c][first] * m.continuation[c][2:].sum() + m.shares[c][(m.keys // size) == first].sum()
-            assert abs(row - 1) < 0.1
+            assert abs(row - 1) < 1e-6 or not m.left[c][first] > 1e-6
 
 
 def test_corpus_words_count_texts(make_docs, odd_rows):
@@ -82,6 +82,49 @@ def test_rare_words_are_evidence(spark):
     assert six > 1 and six > once > 0 and unknown == 0
 
 
+def brute_difference(rows, text, discount=0.75):
+    """Mean log-likelihood difference of two bigram Kneser-Ney models by plain dictionaries."""
+    pairs, corpus = ({}, {}), {}
+    for t, words in rows:
+        for p in set(zip([None, *words], words)):
+            pairs[t][p] = pairs[t].get(p, 0) + 1
+        for w in set(words):
+            corpus[w] = corpus.get(w, 0) + 1
+    total = sum(corpus.values())
+    known = {b for t in (0, 1) for _, b in pairs[t]}
+
+    def probability(t, a, b):
+        kinds = {}
+        for _, y in pairs[t]:
+            kinds[y] = kinds.get(y, 0) + 1
+        shared = max(corpus.get(b, 0), discount) / total
+        below = (max(kinds.get(b, 0) - discount, 0) + discount * len(kinds) * shared) / sum(kinds.values())
+        after = {p: n for p, n in pairs[t].items() if p[0] == a}
+        n = sum(after.values())
+        share = max(after.get((a, b), 0) - discount, 0) / n if n else 0
+        left = 1 - sum(max(c - discount, 0) for c in after.values()) / n if n else 1
+        return share + left * below
+
+    odds = [
+        np.log(probability(1, a, b) / probability(0, a, b)) if b in known else 0.0
+        for a, b in zip([None, *text], text)
+    ]
+    return np.mean(odds)
+
+
+def test_the_difference_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 3 == 0), [f"w{x}" for x in rng.integers(0, 9 + 3 * (i % 3), 14)]) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w), t) for i, (t, w) in enumerate(rows)], "doc_id long, text string, toxic long")
+    m = T.Model.fit(T.count(df, T.corpus_words(df)))
+    texts = [w for _, w in rows[:12]] + [["w1", "never", "w2", "w2"], ["never"], []]
+    got = m.measures(texts)
+    want = [brute_difference(rows, w) if w else 0.0 for w in texts]
+    np.testing.assert_allclose(got[:, 0], want, rtol=1e-4, atol=1e-5)
+    for i, w in enumerate(texts):  # alone or together, a text has the same measures
+        np.testing.assert_allclose(m.measures([w])[0], got[i])
+
+
 def test_held_out_accuracy_of_all_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
