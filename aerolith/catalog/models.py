@@ -17,7 +17,7 @@ from aerolith.catalog.base import (
 )
 from aerolith.catalog.tables import split_sql
 from aerolith.functions.text import normalize_key
-from aerolith.operators import features as X, models as M, registry as R, series as S, split as P
+from aerolith.operators import features as X, models as M, registry as R, series as S, split as P, tree_shap as T
 from aerolith.plans import chains
 from aerolith.schema import KEYS, MODEL_FEATURES, TIME
 from aerolith.session import shared_dir, written
@@ -91,6 +91,22 @@ def _permutation(spark, sf_dir):
     return M.permutation_importance(rows.filter("split = 'val'"), model)
 
 
+def _explained(spark, sf_dir):
+    """Shapley values of the forest for the validation rows."""
+    rows = matrix(spark, sf_dir)
+    pipeline = M.fit(rows, "forest", **QUICK["forest"])
+    held = rows.filter("split = 'val'")
+    return pipeline, held, T.tree_shap(held, pipeline)
+
+
+def _tree_shap_sums(spark, sf_dir):
+    """Whether the values of each row add up to its prediction."""
+    pipeline, held, explained = _explained(spark, sf_dir)
+    total = F.aggregate(F.map_values("shap"), F.col("base_value"), lambda a, x: a + x)
+    both = explained.select(*ID, total.alias("total")).join(pipeline.transform(held).select(*ID, "predicted_aqi"), list(ID))
+    return both.select(*ID, (F.abs(F.col("total") - F.col("predicted_aqi")) < 1e-6).alias("adds_up"))
+
+
 SCALED = ("temperature_2m", "pm2_5", "aqi")
 
 
@@ -164,6 +180,8 @@ QUERIES = {
     "train_elasticnet": _trained("elastic_net"),
     "feature_importance": _importance,
     "perm_importance": _permutation,
+    "tree_shap": lambda s, d: T.mean_shap(_explained(s, d)[2]),
+    "tree_shap_sums": _tree_shap_sums,
     "registry_upsert": lambda s, d: rounded(R.metric_rows(_upserted(s, d), "saved_at")),
     "registry_best": lambda s, d: R.best(_runs(s, d), "rmse").select("name", "display_name", "version", "saved_at"),
     "registry_latest": lambda s, d: rounded(R.metric_rows(R.latest(_runs(s, d)), "display_name")),
@@ -229,6 +247,9 @@ ORACLES = {
         from parted cross join fit""",
     "score_batch": f"""{with_(OBS, Q.features_ctes(), _hot)}
         select station_id, time, {r('aqi')}, {r(predict_sql(), 'predicted_aqi')} from hot""",
+    # The values depend on the trained forest; SQL states the rows, and that the values of each add up.
+    "tree_shap_sums": f"""{with_(OBS, Q.features_ctes(), split_sql('features'))}
+        select f.station_id, f.time, true as adds_up from features f join cuts c on f.time = c.time where split = 'val'""",
     "linear_shap": f"""{with_(OBS, Q.features_ctes(), _hot, f'means as (select {_shap_sum} from hot)', f'shap as ({_shap_rows})')}
         select feature_name, {r('importance_score')}, {r(f'{INTERCEPT!r}e0 + {_shap_base}', 'base_value')}
         from shap cross join means""",
