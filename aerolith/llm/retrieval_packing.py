@@ -23,7 +23,7 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 K1, B = 1.2, 0.75
 # Terms in more than this share of a shard's documents are kept as whole rows of weights instead of postings.
 COMMON = 0.2
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 # Characters up to this one are common.
 LAST = 0x24F
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -121,26 +121,47 @@ def tokens_of(path: str) -> Tokens:
     return Tokens(path)
 
 
-_TOKENS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
+    + [("k1", pa.int32()), ("k2", pa.int32()), ("term", pa.int32())]
+)
+
+
+def clocks(vocabulary: int, seed: int) -> np.ndarray:
+    """Per term a waiting time, shorter for rarer terms. The term of a document with the shortest time is the same for
+    two documents with the chance of their weighted overlap, so that it brings alike ones into one shard.
+
+    Merges are numbered by how frequent they are, so the number of a term stands for how rare it is.
+    """
+    chance = np.random.default_rng(seed).random(vocabulary)
+    return -np.log(1 - chance) / np.log(2.0 + np.arange(vocabulary))
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``row, doc_id, n, ids``: the token ids of every row and ``end_id``, two bytes an id where the vocabulary allows."""
+    """``row, doc_id, n, ids, k1, k2`` of every row: its token ids and ``end_id``, two bytes an id where the vocabulary
+    allows, and two terms drawn by ``clocks``. Rows with a ``term`` instead say that ``n`` texts of a task have it."""
 
     def run(batches):
         known = tokens_of(tokenizer)
-        end = np.array([end_id], known.type).tobytes()
+        size = max(known.vocabulary, end_id + 1)
+        end, times, df = np.array([end_id], known.type).tobytes(), [clocks(size, 1), clocks(size, 2)], np.zeros(size, np.int64)
         for b in batches:
             ids = [known.encode(t.as_py()) + end for t in b.column(2)]
-            n = [len(x) // known.type.itemsize for x in ids]
-            yield batch(_TOKENS, b.column(0), b.column(1), n, pa.array(ids, pa.binary()))
+            arrays = [np.frombuffer(x, known.type) for x in ids]
+            for x in arrays:
+                df[term_counts(x)[0]] += 1
+            keys = [pa.array([int(x[np.argmin(t[x])]) for x in arrays], pa.int32()) for t in times]
+            yield batch(_TOKENS, b.column(0), b.column(1), list(map(len, arrays)), pa.array(ids, pa.binary()), *keys, pa.nulls(len(ids), pa.int32()))
+        met = np.flatnonzero(df)
+        none = lambda kind: pa.nulls(len(met), kind)
+        yield batch(_TOKENS, none(pa.int64()), none(pa.int64()), df[met], none(pa.binary()), none(pa.int32()), none(pa.int32()), met.astype(np.int32))
 
     given = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return given.mapInArrow(run, "row long, doc_id long, n long, ids binary")
+    return given.mapInArrow(run, "row long, doc_id long, n long, ids binary, k1 int, k2 int, term int")
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,33 +187,16 @@ class Statistics:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
 
 
-def statistics(table: DataFrame, vocabulary: int, kind: np.dtype) -> Statistics:
-    """Over all documents; a task sends one count per term it has met."""
-    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        df = np.zeros(vocabulary, np.int64)
-        for b in batches:
-            for ids in b.column(0):
-                df[term_counts(np.frombuffer(ids.as_buffer(), kind))[0]] += 1
-        met = np.flatnonzero(df)
-        yield batch(schema, met, df[met])
-
-    counted = table.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def statistics(table: DataFrame, vocabulary: int) -> Statistics:
+    """Over all documents of a table of ``tokens``."""
+    counted = table.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
     frequency = np.zeros(vocabulary)
     for r in counted.collect():  # one row per id of the vocabulary at most
         frequency[r["term"]] = r["n"]
-    total = table.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    total = table.filter("term is null").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     return Statistics(total["documents"], total["tokens"], frequency)
 
 
-def clocks(statistics: Statistics, seed: int) -> np.ndarray:
-    """Per term a waiting time, shorter for rarer terms. The term of a document with the shortest time is the same for
-    two documents with the chance of their weighted overlap, so that it brings alike ones into one shard."""
-    chance = np.random.default_rng(seed).random(len(statistics.idf))
-    return -np.log(1 - chance) / np.maximum(statistics.idf, 1e-9)
-
-
 class Index:
     """Inverted BM25 index of one shard."""
 
@@ -346,15 +350,7 @@ def retrieval_pack(
     known = tokens_of(tokenizer)
     vocabulary, kind = max(known.vocabulary, end_id + 1), known.type
     table = saved(tokens(docs, tokenizer, end_id), "packing-tokens")
-    corpus = statistics(table, vocabulary, kind)
-    times = [clocks(corpus, 1), clocks(corpus, 2)]
-    keyed = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("k1", pa.int32()), ("k2", pa.int32())])
-
-    def drawn(batches):
-        for b in batches:
-            all_ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column(2)]
-            keys = [pa.array([int(x[np.argmin(t[x])]) for x in all_ids], pa.int32()) for t in times]
-            yield batch(keyed, b.column(0), b.column(1), b.column(2), *keys)
+    corpus = statistics(table, vocabulary)
 
     def fill(batches):
         number = TaskContext.get().partitionId() << 40
@@ -373,6 +369,6 @@ def retrieval_pack(
     tokens_in_all = corpus.mean * corpus.documents
     shards = 1 + int(max(corpus.documents / shard_docs, tokens_in_all / shard_tokens))
     order = ["k1", "k2", "row"]
-    dealt = table.select("row", "doc_id", "ids").mapInArrow(drawn, "row long, doc_id long, ids binary, k1 int, k2 int")
-    dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    documents = table.filter("term is null").select("doc_id", "ids", *order)
+    dealt = documents.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return dealt.mapInArrow(fill, _PACKED_SQL)

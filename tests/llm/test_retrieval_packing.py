@@ -97,7 +97,7 @@ def test_scores_equal_brute_force(common):
 
 def test_statistics_cover_all_documents(make_docs, odd_rows, ids_of):
     table = P.tokens(make_docs(odd_rows).repartition(3), PATH)
-    got = P.statistics(table, 49408, np.dtype("<u2"))
+    got = P.statistics(table, 49408)
     df = Counter(t for _, text in odd_rows for t in set(ids_of(text)))
     want = P.Statistics(len(odd_rows), sum(len(ids_of(t)) for _, t in odd_rows), np.array([df[t] for t in range(49408)], float))
     assert got.documents == want.documents and got.mean == want.mean and np.array_equal(got.idf, want.idf)
