@@ -23,7 +23,7 @@ MOST = 6.0
 THRESHOLD = 0.3
 MEASURES = ("whole", "mean", "peak", "size")
 # Words that are looked up together.
-SLICE_WORDS = 150_000
+SLICE_WORDS = 100_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_…«»“”"
 UNKNOWN, START = 0, 1
 # Words are known by Spark's xxhash64, so that the driver and every worker hold numbers only.
@@ -123,19 +123,23 @@ class Model:
     @classmethod
     def fit(cls, counts: Counts, discount: float = 0.75) -> "Model":
         hashes, *columns = _columns(counts.words, 6, 1)
+        counts.words = []
         order = np.argsort(hashes)
         vocabulary = hashes[order]
         size = len(vocabulary) + 2
-        table = np.zeros((5, size))
+        table = np.zeros((4, size), np.float32)  # counts of a bounded sample: whole numbers that four bytes hold
+        pooled = np.zeros(size)
         for i, c in enumerate(columns):
-            table[i, 2:] = c[order]
-        types, shared, after = table[:2], table[2], table[3:]
+            (pooled if i == 2 else table[i - (i > 2)])[2:] = c[order]
+        del hashes, columns, order
+        types, after = table[:2], table[2:]
         after[:, 1] = counts.start
-        pooled = np.maximum(shared, discount) / max(1, counts.totals[2])
+        pooled = np.maximum(pooled, discount) / max(1, counts.totals[2])
         continuation = np.empty((2, size))
         for c in (0, 1):
             n, kinds = counts.totals[c], np.count_nonzero(types[c])
             continuation[c] = (np.maximum(types[c] - discount, 0) + discount * kinds * pooled) / n if n else pooled
+        del pooled
         keys, b, o, t = _columns(counts.pairs, 4, 2)
         counts.pairs = []
         # In steps and in place: at the bounds of the sample a column takes tens of MB.
@@ -144,7 +148,8 @@ class Model:
             keys[x] = np.where(keys[x] == 0, START, _numbers(vocabulary, keys[x])) * size + _numbers(vocabulary, b[x])
         del b
         order = np.argsort(keys)
-        keys, o, t = keys[order], o[order], t[order]
+        o, t = o[order], t[order]
+        keys = keys[order]
         del order
         shares = np.empty((2, len(keys)), np.float32)
         pair_trust = np.empty(len(keys), np.float32)
@@ -152,37 +157,68 @@ class Model:
         for x in steps:
             first = keys[x] // size
             for c, n in enumerate((o[x], t[x])):
-                shares[c, x] = np.maximum(n - discount, 0) / np.maximum(after[c][first], 1)
+                shares[c, x] = np.maximum(n.astype(float) - discount, 0) / np.maximum(after[c][first], 1)
                 np.subtract.at(left[c], first, shares[c, x])
-            pair_trust[x] = trust(o[x] + t[x], HALF_PAIR)
+            pair_trust[x] = trust(o[x].astype(np.int64) + t[x], HALF_PAIR)
         met = np.maximum(types.sum(0), after.sum(0))
         return cls(
             vocabulary, keys, shares, np.maximum(left, 1e-6), continuation,
             trust(met, HALF_WORD), pair_trust,
         )
 
+    def scorer(self) -> "Scorer":
+        """What scoring needs of the estimates, in four bytes a number."""
+        alone = np.maximum(self.continuation, 1e-12)
+        pair = np.empty(len(self.keys), np.float32)
+        size = self.continuation.shape[1]
+        for i in range(0, len(pair), 1 << 18):
+            x = slice(i, i + (1 << 18))
+            first, second = self.keys[x] // size, self.keys[x] % size
+            p = np.maximum(self.left[:, first] * self.continuation[:, second] + self.shares[:, x], 1e-12)
+            pair[x] = np.log(p[1] / p[0])
+        return Scorer(
+            self.vocabulary, np.log(alone[1] / alone[0]).astype(np.float32), self.word_trust,
+            np.log(self.left[1] / self.left[0]).astype(np.float32), self.keys, pair, self.pair_trust,
+        )
+
+    def log_odds(self, words: list[str]) -> np.ndarray:
+        return self.scorer().log_odds(words)
+
+    def measures(self, texts: list[list[str]]) -> np.ndarray:
+        return self.scorer().measures(texts)
+
+
+@dataclass
+class Scorer:
+    """Log odds of the estimates of both classes, as the workers look them up."""
+
+    vocabulary: np.ndarray
+    odds: np.ndarray  # of a word alone, by its number
+    word_trust: np.ndarray
+    back: np.ndarray  # of the left-over mass after a word
+    keys: np.ndarray
+    pair: np.ndarray  # of a known pair
+    pair_trust: np.ndarray
+
     def evidence(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word number ``second`` after ``first`` the log of its probability in toxic texts over that in ordinary
         ones: by the models, and as far as it is trusted. Unknown words are no evidence.
 
         Trusted odds are those of the word alone and what a known pair adds, each by how often it was met.
         """
-        alone = np.maximum(self.continuation[:, second], 1e-12)
-        odds = np.log(alone[1] / alone[0])
-        whole = odds + np.log(self.left[1, first] / self.left[0, first])  # what an unseen pair backs off to
+        odds = self.odds[second]
+        whole = odds + self.back[first]  # what an unseen pair backs off to
         trusted = odds * self.word_trust[second]
         known = np.flatnonzero((first != UNKNOWN) & (second != UNKNOWN))
         if len(self.keys) and len(known):
-            keys = first[known] * self.continuation.shape[1] + second[known]
+            keys = first[known] * len(self.odds) + second[known]
             order = np.argsort(keys)  # neighbouring searches then touch neighbouring memory
             keys, known = keys[order], known[order]
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             met = self.keys[at] == keys
             at, known = at[met], known[met]
-            f, s = first[known], second[known]
-            p = np.maximum(self.left[:, f] * self.continuation[:, s] + self.shares[:, at], 1e-12)
-            whole[known] = np.log(p[1] / p[0])
-            trusted[known] += (whole[known] - odds[known]) * self.pair_trust[at]
+            whole[known] = self.pair[at]
+            trusted[known] += (self.pair[at] - odds[known]) * self.pair_trust[at]
         unknown = second == UNKNOWN
         whole[unknown] = trusted[unknown] = 0.0
         return whole, trusted
@@ -264,11 +300,11 @@ def text_pairs(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, a long, b long")
 
 
-def count(texts: DataFrame, corpus: DataFrame) -> Counts:
+def count(texts: DataFrame, corpus: DataFrame, most: int = MAX_TOXIC + MAX_ORDINARY) -> Counts:
     """Counts over the labelled ``text, toxic`` (0 or 1) and ``corpus``, the ``corpus_words`` of all texts.
 
     Made by Spark from the same words as are scored; all words and pairs of the labelled texts, which are a bounded
-    sample, reach the driver, as numbers. Tables written on the way are deleted again.
+    sample of ``most`` rows, reach the driver, as numbers. Tables written on the way are deleted again.
     """
     pairs = saved(
         text_pairs(texts).groupBy("a", "b").agg(F.sum(1 - F.col("toxic")).cast("int").alias("o"), F.sum("toxic").cast("int").alias("t")),
@@ -284,9 +320,9 @@ def count(texts: DataFrame, corpus: DataFrame) -> Counts:
     kinds = known.agg(*(zero(F.sum(c)) for c in ("ko", "kt"))).first()
     start = pairs.filter("a = 0").agg(zero(F.sum("o")), zero(F.sum("t"))).first()
     counts = Counts(
-        _arrays(known, [np.int64] * 6),
+        _arrays(known, [np.int64, *[np.int32] * 5]),
         tuple(start),
-        _arrays(pairs.select("a", "b", "o", "t"), [np.int64, np.int64, np.int32, np.int32]),
+        _arrays(pairs.select("a", "b", "o", "t"), [np.int64, np.int64, *[np.uint16 if most < 2**16 else np.int32] * 2]),
         (*kinds, corpus.agg(zero(F.sum("shared"))).first()[0]),
     )
     discard(pairs)
@@ -299,7 +335,7 @@ _ARROW_SQL = "doc_id long, " + ", ".join(f"{c} double" for c in MEASURES)
 
 
 def measure(docs: DataFrame, model) -> DataFrame:
-    """``doc_id`` and MEASURES of every row; ``model`` is a broadcast Model."""
+    """``doc_id`` and MEASURES of every row; ``model`` is a broadcast Scorer."""
 
     def of(ids, texts):
         got = model.value.measures(texts)
@@ -349,9 +385,9 @@ def toxicity(
     )
     texts = saved(documents(docs).join(F.broadcast(learn), "doc_id"), "learn-texts")
     corpus = saved(corpus_words(docs), "corpus-words")
-    counts = count(texts.filter("use = 'count'"), corpus)
+    counts = count(texts.filter("use = 'count'"), corpus, max_toxic + max_ordinary)
     discard(corpus)
-    model = spark.sparkContext.broadcast(Model.fit(counts))
+    model = spark.sparkContext.broadcast(Model.fit(counts).scorer())
     held = texts.filter("use = 'calibrate'")
     known = measure(held, model).join(F.broadcast(learn.select("doc_id", "toxic")), "doc_id").collect()
     discard(texts)
