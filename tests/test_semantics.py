@@ -87,6 +87,5 @@ def test_models_beat_the_mean(spark):
     quick = {"forest": {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 5}, "boost_shallow": {"maxIter": 20, "stepSize": 0.2},
              "boost_leafy": {"maxIter": 20, "stepSize": 0.2, "minInstancesPerNode": 10}, "elastic_net": {}}
     for kind, extra in quick.items():
-        model = models.train(df, kind, list("abc"), **extra)
-        scored = models.predict(df, model, kind, list("abc")).selectExpr("*", f"'{kind}' as model")
+        scored = models.fit(df, kind, list("abc"), **extra).transform(df).selectExpr("*", f"'{kind}' as model")
         assert models.metrics_table(scored).first().test_r2 > 0.5, kind
