@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aerolith.session import shared_dir
+from aerolith.session import drop_dir, shared_dir, written
 
 SMALL_ROWS = 200_000
 ACCURACY = 10_000
@@ -21,8 +21,9 @@ _GRID = [i / 200 for i in range(201)]
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = written(df, path)
+    table.saved_path = path
+    return table
 
 
 class _Bracket:
@@ -105,7 +106,8 @@ def _narrow(rows: DataFrame, brackets, small: int) -> DataFrame:
                     own = own & (F.col("v") < g[high])
                 b.below += below[low]
             keep = keep | own
-        rows = _written(rows.filter(keep), "quantile-rows")
+        before, rows = rows, _written(rows.filter(keep), "quantile-rows")
+        drop_dir(rows.sparkSession, before.saved_path)
 
 
 def exact_quantiles(df: DataFrame, cols, probs, small: int = SMALL_ROWS) -> dict[str, list]:
@@ -130,6 +132,7 @@ def exact_quantiles(df: DataFrame, cols, probs, small: int = SMALL_ROWS) -> dict
     summed = rows.withColumn("upto", upto)
     wanted = [F.min(F.when((F.col("b") == b.number) & (F.col("upto") > r - b.below), F.col("v"))) for b in brackets for r in b.ranks]
     values = summed.agg(*[w.alias(f"w{i}") for i, w in enumerate(wanted)]).first()
+    drop_dir(rows.sparkSession, rows.saved_path)
     found = iter(range(len(wanted)))
     for c in cols:
         if counts[c]:
