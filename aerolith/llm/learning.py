@@ -19,5 +19,17 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of the id so that every run and partitioning chooses the same."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """At most ``limit`` rows, chosen by a hash of the id so that every run and partitioning chooses the same.
+
+    A count tells below which hash about enough rows lie, so that partitions offer those and not ``limit`` rows each.
+    """
+    n, share = rows.count(), 1.0
+    hashed = F.xxhash64("doc_id")
+    if n > limit:
+        share = 1.1 * limit / n + 100 / n
+        below = lambda: hashed.cast("double") < F.lit((share - 0.5) * 2.0**64)
+        while share < 1 and rows.filter(below()).count() < limit:
+            share *= 2
+        if share < 1:
+            rows = rows.filter(below())
+    return rows.orderBy(hashed, "doc_id").limit(limit)

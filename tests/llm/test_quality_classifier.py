@@ -1,6 +1,6 @@
 import numpy as np
 
-from aerolith.llm import quality_classifier as Q
+from aerolith.llm import learning, quality_classifier as Q
 
 
 def test_held_out_accuracy(spark):
@@ -49,3 +49,13 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert Q.quality_classifier(make_docs([]), labels).count() == 0
     none = Q.quality_classifier(make_docs(odd_rows).drop("lang", "source", "n_chars"), labels.limit(0)).collect()
     assert {r["score"] for r in none} == {1.0}
+
+
+def test_bounded_takes_the_rows_of_smallest_hash(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "id as other")
+    order = rows.selectExpr("doc_id", "other", "xxhash64(doc_id) as h").collect()
+    for limit in (0, 1, 50, 999, 2999, 3000, 4000):
+        got = [r["doc_id"] for r in learning.bounded(rows, limit).collect()]
+        assert got == [r["doc_id"] for r in sorted(order, key=lambda r: (r["h"], r["doc_id"]))[:limit]]
+    some = learning.bounded(rows.filter("doc_id != 7"), 20)
+    assert some._jdf.queryExecution().toString().count("Filter") > 0
