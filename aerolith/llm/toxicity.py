@@ -118,7 +118,7 @@ class Model:
     left: np.ndarray  # (2, words): left-over mass after a word
     continuation: np.ndarray  # (2, words)
     word_trust: np.ndarray  # (words,)
-    pair_trust: np.ndarray  # (keys,)
+    pair_met: np.ndarray  # (keys,): texts that have the pair, 65,535 standing for more
 
     @classmethod
     def fit(cls, counts: Counts, discount: float = 0.75) -> "Model":
@@ -152,33 +152,35 @@ class Model:
         keys = keys[order]
         del order
         shares = np.empty((2, len(keys)), np.float32)
-        pair_trust = np.empty(len(keys), np.float32)
+        pair_met = np.empty(len(keys), np.uint16)
         left = np.ones((2, size))
         for x in steps:
             first = keys[x] // size
             for c, n in enumerate((o[x], t[x])):
                 shares[c, x] = np.maximum(n.astype(float) - discount, 0) / np.maximum(after[c][first], 1)
                 np.subtract.at(left[c], first, shares[c, x])
-            pair_trust[x] = trust(o[x].astype(np.int64) + t[x], HALF_PAIR)
+            pair_met[x] = np.minimum(o[x].astype(np.int64) + t[x], 2**16 - 1)
         met = np.maximum(types.sum(0), after.sum(0))
         return cls(
             vocabulary, keys, shares, np.maximum(left, 1e-6), continuation,
-            trust(met, HALF_WORD), pair_trust,
+            trust(met, HALF_WORD), pair_met,
         )
 
     def scorer(self) -> "Scorer":
         """What scoring needs of the estimates, in four bytes a number."""
         alone = np.maximum(self.continuation, 1e-12)
-        pair = np.empty(len(self.keys), np.float32)
+        pair, seconds = np.empty(len(self.keys), np.float32), np.empty(len(self.keys), np.int32)
         size = self.continuation.shape[1]
         for i in range(0, len(pair), 1 << 18):
             x = slice(i, i + (1 << 18))
             first, second = self.keys[x] // size, self.keys[x] % size
             p = np.maximum(self.left[:, first] * self.continuation[:, second] + self.shares[:, x], 1e-12)
             pair[x] = np.log(p[1] / p[0])
+            seconds[x] = second
         return Scorer(
             self.vocabulary, np.log(alone[1] / alone[0]).astype(np.float32), self.word_trust,
-            np.log(self.left[1] / self.left[0]).astype(np.float32), self.keys, pair, self.pair_trust,
+            np.log(self.left[1] / self.left[0]).astype(np.float32),
+            np.searchsorted(self.keys, np.arange(size + 1) * size), seconds, pair, self.pair_met,
         )
 
     def log_odds(self, words: list[str]) -> np.ndarray:
@@ -196,9 +198,23 @@ class Scorer:
     odds: np.ndarray  # of a word alone, by its number
     word_trust: np.ndarray
     back: np.ndarray  # of the left-over mass after a word
-    keys: np.ndarray
+    begins: np.ndarray  # where the pairs of a first word begin; they end where the next one's begin
+    seconds: np.ndarray  # second words of the pairs, by first word and then sorted
     pair: np.ndarray  # of a known pair
-    pair_trust: np.ndarray
+    pair_met: np.ndarray
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where the pairs stand, -1 for unknown ones: all are halved into at once, each among those of its first word."""
+        at, end = self.begins[first], self.begins[first + 1]
+        ends = end.copy()
+        while (open_ := at < end).any():
+            middle = (at + end) >> 1
+            less = open_ & (self.seconds[np.minimum(middle, len(self.seconds) - 1)] < second)
+            at = np.where(less, middle + 1, at)
+            end = np.where(open_ & ~less, middle, end)
+        met = at < ends
+        met[met] = self.seconds[at[met]] == second[met]
+        return np.where(met, at, -1)
 
     def evidence(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word number ``second`` after ``first`` the log of its probability in toxic texts over that in ordinary
@@ -210,15 +226,11 @@ class Scorer:
         whole = odds + self.back[first]  # what an unseen pair backs off to
         trusted = odds * self.word_trust[second]
         known = np.flatnonzero((first != UNKNOWN) & (second != UNKNOWN))
-        if len(self.keys) and len(known):
-            keys = first[known] * len(self.odds) + second[known]
-            order = np.argsort(keys)  # neighbouring searches then touch neighbouring memory
-            keys, known = keys[order], known[order]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            met = self.keys[at] == keys
-            at, known = at[met], known[met]
+        if len(self.seconds) and len(known):
+            at = self.places(first[known], second[known])
+            known, at = known[at >= 0], at[at >= 0]
             whole[known] = self.pair[at]
-            trusted[known] += (self.pair[at] - odds[known]) * self.pair_trust[at]
+            trusted[known] += (self.pair[at] - odds[known]) * trust(self.pair_met[at], HALF_PAIR)
         unknown = second == UNKNOWN
         whole[unknown] = trusted[unknown] = 0.0
         return whole, trusted
