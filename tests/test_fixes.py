@@ -197,3 +197,14 @@ def test_quantiles_are_exact_in_few_passes(spark):
         assert len(tracker.getJobIdsForGroup(f"q{small}")) < 40
     tiny = spark.createDataFrame([(3.0,), (1.0,), (None,)], "a double")
     assert exact_quantiles(tiny, ["a"], [0.0, 0.5, 1.0])["a"] == [1.0, 2.0, 3.0]
+
+
+def test_a_forest_is_grown_by_all_tasks(spark):
+    """A table that one task reads is dealt to all, row for row, before its trees are grown."""
+    rows = spark.range(500).selectExpr(
+        "cast(id % 3 as int) as station_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, id) as time", "cast(id as double) as x"
+    ).coalesce(1)
+    parts = M.dealt(rows)
+    assert rows.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(parts.collect()) == sorted(rows.collect())
+    assert M.dealt(rows.select("x")).count() == 500
