@@ -70,14 +70,18 @@ class Tokens:
         self.common = re.compile(f"[\t\n\r{chr(0x20)}-\x7e\xa1-{chr(LAST)}]*")
         self.special = re.compile("|".join(special) or "(?!)")
         self.pieces = _Remembered(self._piece)
+        self.tokenize = self.tokenizer.model.tokenize  # asked for by piece, so not looked up each time
+        self.packs = [struct.Struct(f"<{n}{'H' if self.type.itemsize == 2 else 'I'}").pack for n in range(64)]
         self.characters = _byte_characters()
 
     def _bytes(self, ids: list[int]) -> bytes:
+        if len(ids) < len(self.packs):
+            return self.packs[len(ids)](*ids)
         return struct.pack(f"<{len(ids)}{'H' if self.type.itemsize == 2 else 'I'}", *ids)
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return self._bytes([t.id for t in self.tokenize(mapped)])
 
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
@@ -146,11 +150,12 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         size = max(known.vocabulary, end_id + 1)
         end, times, df = np.array([end_id], known.type).tobytes(), [clocks(size, 1), clocks(size, 2)], np.zeros(size, np.int64)
         for b in batches:
-            ids = [known.encode(t.as_py()) + end for t in b.column(2)]
+            ids = [known.encode(t) + end for t in b.column(2).to_pylist()]
             arrays = [np.frombuffer(x, known.type) for x in ids]
-            for x in arrays:
-                df[term_counts(x)[0]] += 1
-            keys = [pa.array([int(x[np.argmin(t[x])]) for x in arrays], pa.int32()) for t in times]
+            met = [term_counts(x)[0] for x in arrays]
+            for x in met:
+                df[x] += 1
+            keys = [pa.array([int(x[np.argmin(t[x])]) for x in met], pa.int32()) for t in times]
             yield batch(_TOKENS, b.column(0), b.column(1), list(map(len, arrays)), pa.array(ids, pa.binary()), *keys, pa.nulls(len(ids), pa.int32()))
         met = np.flatnonzero(df)
         none = lambda kind: pa.nulls(len(met), kind)
