@@ -123,3 +123,13 @@ def test_very_many_candidates_in_a_text(spark, make_docs):
     assert found.count() == sum(t.count(" ") + 1 for t in texts)
     assert found.filter(F.col("start") != F.col("at") * 22).count() == 0
     assert time.monotonic() - began < 60
+
+
+def test_frequent_words_are_those_of_all_rows(spark):
+    """Counted over every row, not over the texts that labels are drawn from; rows that are repeated count once."""
+    rows = [(i, "alpha beta" if i % 2 else "alpha", None) for i in range(2 * S.MAX_TEXTS)]
+    rows += [(-i, "seldom", None) for i in range(1, 8)] + [(7000, "again", None)] * 20 + [(7001, "twice again", None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert S.frequent_words(docs) == ["alpha", "beta", "seldom"]
+    assert S.frequent_words(docs, most=2) == ["alpha", "beta"]
+    assert S.frequent_words(docs.limit(0)) == []
