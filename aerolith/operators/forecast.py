@@ -1,5 +1,9 @@
 """Autoregressive roll-out, current conditions, alerts and evaluation."""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,10 +14,13 @@ from aerolith.functions.bands import (
     alert_level,
     aqi_category,
     aqi_to_pm25,
+    aqi_to_pm25_array,
     clip,
 )
 from aerolith.operators import features as X, lookup, match, series as S
-from aerolith.operators.models import LinearModel, score
+from aerolith.operators.forest import RandomForestModel
+from aerolith.operators.models import LinearModel, dealt, score
+from aerolith.operators.pipelines import Clamp, FeatureVector
 from aerolith.operators.stats import forecast_kpis, metric_columns
 from aerolith.plans import chains
 from aerolith.schema import (
@@ -144,11 +151,12 @@ def forecast_model(
     names=MODEL_FEATURES,
     path: str | None = None,
 ) -> DataFrame:
-    """Roll any fitted model ahead with its own ``transform``, one hour of all stations at a time.
+    """Roll any fitted model ahead, one hour of all stations at a time.
 
     ``model`` is a pipeline that takes feature columns, or a model on a vector of the features ``names``.
 
-    Each hour's predictions and buffers are a table below ``path`` (a fresh shared folder by default), which the next
+    A forest rolls batches of stations through all hours in one pass, each in one task: its trees are sent once. Other
+    models predict by their own ``transform``. Each hour's predictions and buffers are a table below ``path`` (a fresh shared folder by default), which the next
     hour reads: a row per station, joined with the weather of that hour. The result reads these tables, so the caller
     drops ``path`` once the result is no longer needed.
     """
@@ -156,6 +164,9 @@ def forecast_model(
     path = path or shared_dir(spark, "roll-out")
     begin = start if start is not None else F.lit("1900-01-01").cast("timestamp_ntz")
     rows = written(_inputs(history, future, begin, steps, tz), f"{path}/inputs")
+    if found := _forest_in(model, names):
+        out = written(_rolled_by_forest(rows, *found), f"{path}/rolled")
+        return out.withColumn("aqi_category", aqi_category(F.col("predicted_aqi")))
     ahead = rows.select(*KEYS, F.posexplode("ahead").alias("step", "_at"))
     ahead.write.partitionBy("step").parquet(f"{path}/ahead")
     state = rows.select(*KEYS, F.struct(*_first_columns()).alias("_state"))
@@ -183,6 +194,80 @@ def forecast_model(
     return out.select(*KEYS, "timestamp", "predicted_aqi").withColumn("aqi_category", aqi_category(F.col("predicted_aqi")))
 
 
+def _forest_in(model, names) -> tuple[RandomForestModel, FeatureVector, list[Clamp]] | None:
+    """The forest of a model, what makes its vector and what follows; None for other models."""
+    if isinstance(model, RandomForestModel):
+        return model, FeatureVector(names=list(names)), []
+    if isinstance(model, PipelineModel) and [type(s) for s in model.stages] == [FeatureVector, RandomForestModel, Clamp]:
+        vector, forest, clamp = model.stages
+        return forest, vector, [clamp]
+    return None
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of one width, NaN where they are short or null; and their lengths."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(sizes), sizes.max(initial=0)), np.nan)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return out, sizes
+
+
+def _rolled(past: dict, sizes: np.ndarray, ahead: dict, steps: int, predict: Callable[[dict], np.ndarray]) -> np.ndarray:
+    """Predictions by station and hour, as ``_step_features`` and ``_next_state`` define the steps: ``past`` has the last
+    rows of each buffer (``sizes`` of them), ``ahead`` what is known of the hours to come; NaN is NULL."""
+    rows = np.arange(len(sizes))
+    last_co = past["carbon_monoxide"][rows, sizes - 1]
+    state = {c: np.pad(v, ((0, 0), (0, steps)), constant_values=np.nan) for c, v in past.items()}
+    out = np.empty((len(sizes), steps))
+    for t in range(steps):
+        back = lambda c, n: state[c][rows, np.maximum(sizes + t - n, 0)]
+        known = {c: v[:, t] for c, v in ahead.items()}
+        known |= {f"{c}_lag_{n}h": back(c, n) for c, ns in LAGS.items() for n in ns}
+        known |= {f"aqi_change_{n}h": back("aqi", 1) - back("aqi", 1 + n) for n in CHANGE_HOURS}
+        known |= {f"aqi_rate_{n}h": np.clip(known[f"aqi_change_{n}h"] / float(n), -10.0, 10.0) for n in RATE_HOURS}
+        out[:, t] = y = predict(known)
+        pushed = {"aqi": y, "pm2_5": aqi_to_pm25_array(y), "carbon_monoxide": np.fmax(0.0, last_co)}
+        for c in state:
+            state[c][rows, sizes + t] = pushed[c] if c in pushed else ahead[c][:, t]
+    return out
+
+
+def _rolled_by_forest(rows: DataFrame, model: RandomForestModel, vector: FeatureVector, clamps: list[Clamp]) -> DataFrame:
+    """``KEYS, timestamp, predicted_aqi`` for the rows of ``_inputs``."""
+    names = vector.getOrDefault(vector.names)
+    means, spreads = (np.array(vector.getOrDefault(p), float) for p in (vector.means, vector.deviations))
+    bounds = [(c.getOrDefault(c.low), c.getOrDefault(c.high)) for c in clamps] + [(0.0, MAX_AQI)]
+    forest = model.sent(rows.sparkSession)
+    keys = len(KEYS)
+
+    def predict(known):
+        none = np.zeros(len(known["aqi_change_1h"]))
+        x = np.nan_to_num(np.column_stack([known.get(n, none) for n in names]), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        if len(means):
+            x = (x - means) / np.where(spreads == 0, 1.0, spreads)
+        y = forest.value.predict(x)
+        for low, high in bounds:
+            y = np.clip(y, low, high)
+        return y
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, lists = b.column(keys), [_ragged(c) for c in b.columns[keys + 1 :]]
+            hours, sizes = np.diff(at.offsets.to_numpy()), lists[0][1]
+            past, ahead = (dict(zip(c, (v for v, _ in part))) for c, part in ((BUFFERS, lists), (FUTURE, lists[len(BUFFERS) :])))
+            y = _rolled(past, sizes, ahead, int(hours.max(initial=0)), predict)
+            station = pa.array(np.repeat(np.arange(b.num_rows), hours))
+            kept = y[np.arange(y.shape[1]) < hours[:, None]]
+            yield pa.RecordBatch.from_arrays([*[c.take(station) for c in b.columns[:keys]], at.flatten(), pa.array(kept)], [*KEYS, "timestamp", "predicted_aqi"])
+
+    lists = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side, of in (("past", BUFFERS), ("ahead", FUTURE)) for c in of]
+    inputs = dealt(rows).select(*KEYS, F.col(f"ahead.{TIME}").alias("at"), *lists)
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in KEYS)
+    return inputs.mapInArrow(run, f"{schema}, timestamp timestamp_ntz, predicted_aqi double")
+
+
 # Names under which current conditions are shown.
 CONDITIONS = {
     "pm2_5": "pm2_5",

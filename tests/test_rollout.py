@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from aerolith.catalog.base import ID, observations, split_forecast
 from aerolith.operators import features as X, forecast as G, models as M
+from aerolith.operators.pipelines import Clamp
 from aerolith.plans import chains, jobs
 from aerolith.schema import MODEL_FEATURES
 from aerolith.sources import store
@@ -77,3 +79,27 @@ def test_every_trained_kind_rolls_out(spark, obs, parts, features, tmp_path):
 def test_training_takes_the_kinds_that_are_named(features):
     trained = jobs.training_job(features, SMALLER, kinds=("elastic_net",))
     assert list(trained.models) == ["ElasticNet"] and trained.best == "ElasticNet"
+
+
+def test_a_forest_rolls_out_in_one_pass_as_by_its_own_transform(spark, parts, features):
+    """A job for each hour took over a second, whatever the stations; the steps by arrays give the same hours."""
+    history, future = parts
+    rows = X.season_onehot(features).select(*ID, "aqi", *MODEL_FEATURES).withColumn("split", F.lit("train"))
+    pipeline = M.fit(rows, "forest", numTrees=5, maxDepth=4)
+    cut = history.agg(F.max("time")).first()[0]
+    twice = lambda df: df.unionByName(df.withColumn("station_id", F.lit(7)))
+    few = twice(history).filter(F.col("station_id").eqNullSafe(0) | (F.col("time") > F.lit(cut) - F.expr("interval 5 hours")))
+    few = few.withColumn("carbon_monoxide", F.when((F.col("station_id") == 0) | (F.hour("time") % 2 == 0), F.col("carbon_monoxide"))).cache()
+    short = twice(future).withColumn("pressure_msl", F.when(F.hour("time") % 7 != 0, F.col("pressure_msl")))
+    short = short.filter(F.col("station_id").eqNullSafe(0) | (F.col("time") <= F.lit(cut) + F.expr("interval 6 hours"))).cache()
+    stepped = PipelineModel([*pipeline.stages, Clamp(inputCol="predicted_aqi", low=0.0, high=500.0)])
+    for model, steps in ((pipeline, stepped), (M.model_of(pipeline), PipelineModel([pipeline.stages[0], M.model_of(pipeline)]))):
+        tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+        context.setJobGroup("one-pass", "roll-out of a forest")
+        got = by_hour(G.forecast_model(few, short, model, steps=10))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert len(tracker.getJobIdsForGroup("one-pass")) < 25
+        want = by_hour(G.forecast_model(few, short, steps, steps=10))
+        assert got.keys() == want.keys() and len(want) == 16
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+    assert G.forecast_model(history, future.limit(0), pipeline).count() == 0
